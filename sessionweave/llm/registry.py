@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .chat_format import OP6_SQL, op6_chat_format
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .packing import op1_packing
 
 
 def queries() -> dict:
-    return {"op6_chat_format": op6_chat_format, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_packing": op1_packing, "op6_chat_format": op6_chat_format, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict:
