@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pyarrow as pa
 
+from ..shipping import ship
+
 
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000):
     """Slices of a batch with at most about most_bytes of the text column, one row at least."""
@@ -21,5 +23,6 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000):
 
 
 def small_batches(spark) -> None:
-    """Arrow batches of few rows: rows can be long texts."""
+    """Arrow batches of few rows, as rows can be long texts; and this package on every worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")

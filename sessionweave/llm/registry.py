@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from .chat_format import OP6_SQL, op6_chat_format
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .html_extract import op8_html_extract
+from .language_id import op5_language_id
 from .packing import op1_packing
+from .sentencepieces import op2_sentencepiece
+from .warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op6_chat_format": op6_chat_format, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_packing": op1_packing,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_warc": op3_warc,
+        "op5_language_id": op5_language_id,
+        "op6_chat_format": op6_chat_format,
+        "op8_html_extract": op8_html_extract,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op6_chat_format": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_exact_dedup": OP10_SQL}
