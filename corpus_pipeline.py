@@ -1,8 +1,63 @@
-"""Corpus pipeline (stages are filled in as the operators land)."""
+"""Corpus pipeline: language ID, exact dedup, near dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of documents;
+the last returns packed pieces.  Between stages the rows are written as Parquet and read again, so a lost executor costs
+one stage's work at most.
+
+* language_id drops documents without a letter and those whose language's posterior is under one half.
+* exact_dedup keeps one of the documents that are equal but for ASCII white space.
+* jaccard_join keeps one document of each class of word 5-gram similarity 0.8 or more.
+* substring_dedup cuts every passage of 200 bytes or more that occurs at another place too; characters stay whole.
+* packing makes token sequences of at most 4096.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sessionweave.llm import exact_dedup, jaccard_join, language_id, packing, substring_dedup
+from sessionweave.llm.common import Scratch, table
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.identified(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_dedup(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)

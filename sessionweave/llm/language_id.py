@@ -133,8 +133,8 @@ class Scorer:
         return [langs[b] if ok else NO_LANGUAGE for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0)
 
 
-def predict_languages(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns keep of docs with lang_pred and score."""
+def predict_languages(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns keep of docs with the prediction and its score, under names that keep doesn't hold."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.words, model.grams))
     columns = list(dict.fromkeys([*keep, "text"]))
@@ -146,10 +146,10 @@ def predict_languages(docs: DataFrame, model: Model, keep: list[str]) -> DataFra
         for whole in batches:
             for b in slices(whole, "text"):
                 lang, score = scorer.predict(b.column("text"))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.select(*columns).mapInArrow(run, schema + "lang_pred string, score double")
+    return docs.select(*columns).mapInArrow(run, schema + f"`{names[0]}` string, `{names[1]}` double")
 
 
 def fit_on(docs: DataFrame) -> Model:
@@ -157,6 +157,12 @@ def fit_on(docs: DataFrame) -> Model:
     return fit(docs.where("lang is not null").where(fold(F.col("doc_id")) != 0), Scratch(docs.sparkSession, "language"))
 
 
+def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is told with a posterior of least_score or more, with all their columns."""
+    out = predict_languages(docs, fit_on(docs), docs.columns, ("__lang_pred", "__score"))
+    return out.where((F.col("__lang_pred") != NO_LANGUAGE) & (F.col("__score") >= least_score)).select(*docs.columns)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = predict_languages(docs, fit_on(docs), ["doc_id"])
