@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import sequences
+
+_PARTS = (sequences,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.SQL.items()}
