@@ -59,3 +59,12 @@ def circular_mean(sin: Column, cos: Column) -> Column:
 def share(condition: Column) -> Column:
     """Fraction of rows that meet condition; a null condition counts as not met."""
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
+
+
+def correlation(x: Column, y: Column, over=None) -> Column:
+    """Pearson correlation of rows where both are known, null where either doesn't vary; an aggregate, or over a window."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y), F.min(x), F.max(x), F.min(y), F.max(y)]
+    c, a, b, x0, x1, y0, y1 = parts if over is None else [q.over(over) for q in parts]
+    return c / F.when((x0 < x1) & (y0 < y1) & (a * b > 0), a * b)

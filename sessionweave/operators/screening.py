@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import finite
+from ..functions.stats import correlation, finite
 
 LONG = ("feature", "value")
 
@@ -25,7 +25,7 @@ def exposure(long: DataFrame, group: str, least_groups: int = 5, flag_at: float
     """Correlation of groups' means with their number of rows; null under least_groups or where either is constant."""
     per = long.groupBy("feature", group).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).cast("double").alias("rows")).where("mean is not null")
     varied = (F.count(F.lit(1)) >= least_groups) & (F.min("mean") < F.max("mean")) & (F.min("rows") < F.max("rows"))
-    out = per.groupBy("feature").agg(F.when(varied, F.corr("mean", "rows")).alias("r"))
+    out = per.groupBy("feature").agg(F.when(varied, correlation(F.col("mean"), F.col("rows"))).alias("r"))
     return out.withColumn("flag", F.coalesce(F.abs("r") >= flag_at, F.lit(False)))
 
 
@@ -50,8 +50,8 @@ def pairwise_correlation(long: DataFrame, row: str, least: int = 30) -> DataFram
     """Correlations of all pairs of features over rows where both are present: sums per pair, no matrix on the driver."""
     v = long.where("value is not null").select(row, *LONG)
     a, b = v.select(row, F.col("feature").alias("a"), F.col("value").alias("x")), v.select(row, F.col("feature").alias("b"), F.col("value").alias("y"))
-    out = a.join(b, row).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.corr("x", "y").alias("r"))
-    return out.withColumn("r", F.when((F.col("overlap") >= least) & ~F.isnan("r"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
+    out = a.join(b, row).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), correlation(F.col("x"), F.col("y")).alias("r"))
+    return out.withColumn("r", F.when(F.col("overlap") >= least, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
 
 
 def redundancy(pairs: DataFrame) -> DataFrame:
@@ -95,4 +95,4 @@ def average_ranks(df: DataFrame, column: str, partition: list[str] | None = None
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     r = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, by, "rx"), y, by, "ry")
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import correlation
+
 
 def _ordered(s: str, *order: str):
     return Window.partitionBy(s).orderBy(*order)
@@ -160,7 +162,7 @@ def rolling_corr(events: DataFrame, x: str, y: str, rows: int, s: str = "s", t:
     e = events.withColumns({"__x": F.col(x) - F.lag(x).over(w), "__y": F.col(y) - F.lag(y).over(w)})
     f = w.rowsBetween(-(rows - 1), 0)
     both = F.when(F.col("__x").isNotNull() & F.col("__y").isNotNull(), 1)
-    return e.withColumn("rolled", F.when(F.count(both).over(f) >= least, F.corr("__x", "__y").over(f))).drop("__x", "__y")
+    return e.withColumn("rolled", F.when(F.count(both).over(f) >= least, correlation(F.col("__x"), F.col("__y"), f))).drop("__x", "__y")
 
 
 def unwrap_degrees(events: DataFrame, value: str, s: str = "s", t: str = "t", tie: str = "id") -> DataFrame:

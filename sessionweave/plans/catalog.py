@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sequences
+from . import screens, sequences
 
-_PARTS = (sequences,)
+_PARTS = (sequences, screens)
 
 
 def queries() -> dict:
