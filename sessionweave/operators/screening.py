@@ -51,7 +51,7 @@ def pairwise_correlation(long: DataFrame, row: str, least: int = 30) -> DataFram
     v = long.where("value is not null").select(row, *LONG)
     a, b = v.select(row, F.col("feature").alias("a"), F.col("value").alias("x")), v.select(row, F.col("feature").alias("b"), F.col("value").alias("y"))
     out = a.join(b, row).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), correlation(F.col("x"), F.col("y")).alias("r"))
-    return out.withColumn("r", F.when(F.col("overlap") >= least, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
+    return out.withColumn("r", F.when((F.col("overlap") >= least) & F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
 
 
 def redundancy(pairs: DataFrame) -> DataFrame:
