@@ -3,8 +3,9 @@
 Suffixes are classified as larger (L) or smaller (S) than the next one; the leftmost S of each run (LMS) cut the text into
 substrings.  Those are named in sorted order, the string of names is sorted recursively where names repeat, and the order of
 the LMS suffixes then induces that of the L suffixes (each follows from its right neighbour, up to the next LMS) and, from
-those, of the S suffixes (up to the next L).  A chain of right neighbours is ranked by doubling along it, so inducing takes
-a few vectorised sorts instead of a scan over buckets, and works alike for bytes and for names.
+those, of the S suffixes (up to the next L).  A suffix is placed by the symbols along its chain of right neighbours and the
+place of the suffix the chain ends at; that takes a sort of packed keys instead of a scan over buckets, and works alike for
+bytes and for names.
 """
 
 from __future__ import annotations
@@ -12,88 +13,106 @@ from __future__ import annotations
 import numpy as np
 
 
-def _dense(key: np.ndarray) -> tuple[np.ndarray, int]:
+def _steps(stops: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distance of each position in at to the next stop."""
+    stop = np.flatnonzero(stops)
+    return stop[np.searchsorted(stop, at)] - at
+
+
+def _chain_rank(at: np.ndarray, steps: np.ndarray, code: np.ndarray, codes: int) -> np.ndarray:
+    """Ranks of the chains that begin at the positions at: their codes, as far as steps positions to the right.
+
+    As many codes as fit are compared in one sort; chains still tied go on.  Equal chains get the place of the first."""
+    bits = int(codes).bit_length() + 1
+    take = max(1, 62 // bits)
+
+    def packed(pos: np.ndarray, left: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(pos), np.int64)
+        for j in range(take):
+            key <<= bits
+            more = left >= j
+            key[more] += code[pos[more] + j] + 1
+        return key
+
+    def places(order: np.ndarray, new: np.ndarray, base: np.ndarray | int) -> np.ndarray:
+        out = np.empty(len(order), np.int64)
+        out[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) + base
+        return out
+
+    if not len(at):
+        return np.zeros(0, np.int64)
+    key = packed(at, steps)
     order = np.argsort(key)
-    new = np.empty(len(key), np.int64)
-    if not len(key):
-        return new, 0
-    step = np.empty(len(key), np.int64)
-    step[0] = 0
-    step[1:] = key[order[1:]] != key[order[:-1]]
-    np.cumsum(step, out=step)
-    new[order] = step
-    return new, int(step[-1]) + 1
-
-
-def _chain_rank(code: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Dense ranks by the codes along each position's chain: itself and the steps positions to its right."""
-    rank, n = _dense(code)
-    far, d = int(steps.max(initial=0)), 1
-    while d <= far and n < len(rank):
-        more = np.flatnonzero(steps >= d)
-        second = np.zeros(len(rank), np.int64)
-        second[more] = rank[more + d] + 1
-        rank, n = _dense(rank * (len(rank) + 2) + second)
-        d *= 2
-    return rank
-
-
-def _steps(stops: np.ndarray, n: int) -> np.ndarray:
-    """Distance of each position to the next stop at or after it."""
-    at = np.flatnonzero(stops)
-    return at[np.searchsorted(at, np.arange(n))] - np.arange(n)
+    k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    rank = places(order, new, 0)
+    done = take
+    while True:
+        longer = steps >= done
+        if not longer.any():
+            return rank
+        size = np.bincount(rank, minlength=len(rank))
+        tied = np.flatnonzero(longer & (size[rank] > 1))
+        if not len(tied):
+            return rank
+        # a tied chain that has ended stays first in its group: it equals only chains that ended too
+        group = np.flatnonzero(np.isin(rank, np.unique(rank[tied])))
+        key = packed(at[group] + np.minimum(done, steps[group]), np.where(steps[group] >= done, steps[group] - done, -1))
+        order = np.lexsort((key, rank[group]))
+        r, k = rank[group][order], key[order]
+        first = np.concatenate([[True], r[1:] != r[:-1]])
+        new = first | np.concatenate([[True], k[1:] != k[:-1]])
+        where = np.arange(len(order))
+        begin = np.maximum.accumulate(np.where(first, where, 0))
+        out = np.empty(len(order), np.int64)
+        out[order] = r + np.maximum.accumulate(np.where(new, where, 0)) - begin
+        rank[group] = out
+        done += take
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of text, whose last symbol is its least and occurs once."""
+    """Suffix array of text (small non-negative integers), whose last symbol is its least and occurs once."""
     n = len(text)
     if n <= 2:
-        return np.arange(n)[::-1].copy() if n == 2 else np.arange(n)
-    text = _dense(text.astype(np.int64))[0]
+        return np.arange(n)[::-1].copy()
+    text = text.astype(np.int64)
+    sigma = int(text.max()) + 1
     change = np.flatnonzero(text[1:] != text[:-1])
-    nxt = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), len(change) - 1)]
+    nxt = change[np.searchsorted(change, np.arange(n - 1))]
     small = np.append(text[nxt + 1] > text[nxt], True)
     lms = small.copy()
     lms[0] = False
     lms[1:] &= ~small[:-1]
-    where = np.flatnonzero(lms)
-    large = ~small
-    to_lms = np.where(large, _steps(lms, n), 0)  # an L suffix' chain ends at the next LMS
-    to_large = np.where(small, 0, 0)
-    body = np.arange(n) < where[-1]  # the last run of S is the least symbol alone
-    to_large[body] = np.where(small[body], _steps(large | ~body, n)[body], 0)
-
-    def induce(lms_rank: np.ndarray) -> np.ndarray:
-        """Ranks of all suffixes from those of the LMS suffixes (equal ranks: compared as far as the next LMS)."""
-        m = n + 2
-        first = text * (2 * m)
-        own = np.where(lms, m + np.minimum(lms_rank, m - 1), 0)  # L before S where the symbol is the same
-        use = large | lms
-        code = np.where(use, first + own, -1)
-        rank_l = _chain_rank(code, to_lms)
-        code = first + np.where(small, m, 0) + np.where(large, rank_l % m, 0)
-        code = np.where(large, text * (2 * m) + _within(rank_l, text, large), code)
-        return _chain_rank(code, to_large)
-
-    def _within(rank: np.ndarray, sym: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """Dense ranks among L suffixes with the same symbol."""
-        out = np.zeros(n, np.int64)
-        at = np.flatnonzero(who)
-        out[at] = _dense(rank[at])[0]
-        return out
-
-    zero = np.zeros(n, np.int64)
-    named = induce(zero)[where]
-    names, distinct = _dense(named)
-    if distinct < len(where):
+    where, at_l, at_s = np.flatnonzero(lms), np.flatnonzero(~small), np.flatnonzero(small)
+    steps_l = _steps(lms, at_l)  # a chain of L ends at the next LMS, one of S at the next L
+    steps_s = np.append(_steps(~small, at_s[:-1]), 0) if len(at_l) else np.zeros(len(at_s), np.int64)
+    below = lambda pos: np.concatenate([[0], np.cumsum(np.bincount(text[pos], minlength=sigma))])
+    lms_below, l_below, s_below = below(where), below(at_l), below(at_s)
+    code = np.empty(n, np.int64)
+
+    def induce(lms_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the L suffixes among themselves and of the S suffixes, from those of the LMS suffixes."""
+        code[at_l] = lms_below[text[at_l]] + text[at_l]  # L comes before S where the symbol is the same
+        code[where] = lms_place + text[where] + 1
+        rank_l = _chain_rank(at_l, steps_l, code, len(where) + sigma + 2)
+        code[at_s] = l_below[text[at_s] + 1] + text[at_s]
+        code[at_l] = rank_l + text[at_l]
+        return rank_l, _chain_rank(at_s, steps_s, code, len(at_l) + sigma + 2)
+
+    place = np.full(n, -1, np.int64)
+    place[at_s] = induce(lms_below[text[where]])[1]  # LMS suffixes told apart by their first symbol only: sorts LMS substrings
+    found = place[where]
+    held = np.zeros(n + 1, np.int64)
+    held[found] = 1
+    names = (np.cumsum(held) - 1)[found]
+    if int(names.max()) + 1 < len(where):
         order = suffix_array(names)
         names = np.empty(len(where), np.int64)
         names[order] = np.arange(len(where))
-    lms_rank = zero
-    lms_rank[where] = names
-    rank = induce(lms_rank)
+    rank_l, rank_s = induce(names)
     out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
+    out[rank_l + s_below[text[at_l]]] = at_l
+    out[rank_s + l_below[text[at_s] + 1]] = at_s
     return out
 
 
