@@ -7,14 +7,15 @@ equal anchors, so windows need only be compared within an anchor's hash.  The wi
 and make one context of at most 2 * LENGTH bytes; there is about one per 80 bytes of text.  Only (hash of the anchor,
 fingerprint of the context, place) is shuffled.  Anchors that occur once are settled.  Equal contexts, told by 128 bits of
 hash, are collapsed before anything is gathered: what remains of a passage that thousands of documents share is one row, and
-its members are repeats as a whole.  Of anchors with several different contexts, one context of each kind is read and goes to
-a shard by its anchor; a shard of about SHARD bytes is suffix-sorted by induced sorting (``suffix.py``), and windows whose
+its members are repeats as a whole.  Of anchors with several different contexts, one context of each kind is read, split and goes
+to a shard by its key; a shard of about SHARD bytes is suffix-sorted by induced sorting (``suffix.py``), and windows whose
 permuted common prefix with a neighbour is LENGTH or more are repeats.
 
-Hot anchors.  An anchor with more than MOST different contexts (the edge of a passage that very many documents share) is not
-sorted in one task: its windows are split by their offset to the anchor into groups of 24, then 4, then 1, each keyed by the
-bytes that all windows of the group have in common, collapsing equal pieces every time.  At width 1 equal pieces are equal
-windows.
+Splitting.  Most windows of such contexts reach beyond what the documents share.  So a context is first split by the windows'
+offset to the anchor into pieces of 24 windows, keyed by the bytes that all of them have in common; pieces whose key occurs
+once are settled, equal ones are collapsed again, and only the rest is sorted.  Keys with more than MOST different pieces (the
+edge of a passage that very many documents share) are not sorted in one task but split again, into groups of 4 windows and then
+of 1; at width 1 equal pieces are equal windows.
 
 Defined results: null text counts as empty; texts under LENGTH bytes keep everything; overlapping occurrences count;
 repeated rows are occurrences of their own, so their windows are repeats; a null doc_id is a document as any other; an empty
@@ -183,11 +184,13 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     parts = []
     for level, width in enumerate((*WIDTHS, None)):
         per_key = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        cold = contexts.join(per_key.where(F.col("n").between(2, most)).select("key"), "key", "left_semi")
-        parts.append(_sorted_shards(cold, kind, length))
+        limit = most if level else 1  # whole contexts are always split once
+        if level:
+            cold = contexts.join(per_key.where(F.col("n").between(2, limit)).select("key"), "key", "left_semi")
+            parts.append(_sorted_shards(cold, kind, length))
         if width is None:
             break
-        hot = contexts.join(per_key.where(F.col("n") > most).select("key"), "key", "left_semi")
+        hot = contexts.join(per_key.where(F.col("n") > limit).select("key"), "key", "left_semi")
         if not hot.take(1):
             break
         pieces = scratch.keep(_split(hot, kind, width, length), f"pieces{level}")
