@@ -37,6 +37,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self, *names: str) -> None:
+        """Drops tables that are no longer read, and lets Spark delete the shuffle files of finished steps."""
+        for n in names:
+            self.drop(n)
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -152,7 +152,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     sets = texts.select("text", "rid", "wid", "n", "grp", "size").mapInArrow(grams, f"rid long, id {kind}, n long, grp long, size long, grams array<long>")
     sets = scratch.keep(sets.dropDuplicates(["rid"]), "grams")
-    spark._jvm.System.gc()  # lets Spark drop the shuffle files of the steps above
+    scratch.release()
 
     whole = sets.where(F.col("size") <= group)
     in_one = whole.repartition("grp").sortWithinPartitions("grp", "rid").mapInArrow(_whole_groups(threshold), f"rid long, root long, links long, class_id {kind}")

@@ -155,8 +155,9 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
 
     found = scratch.keep(keyed.mapInArrow(anchors, f"doc_id {kind}, dk long, a int, s int, e int, h long, c long"), "anchors")
     status = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") == F.col("c1")).alias("one"))
+    status = scratch.keep(status, "status")  # read back, so that a hot anchor's side of the join can be split
     flagged = scratch.keep(found.join(status, "h"), "flagged")
-    scratch.drop("anchors")
+    scratch.release("anchors", "status")
     kinds = flagged.where("not one").groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("dk", "doc_id", "s", "e", "a"), F.struct("dk", "s")).alias("rep"))
     kinds = scratch.keep(kinds, "kinds")
     collapsed = kinds.where("m > 1").select("h", "c")
@@ -179,8 +180,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
 
     contexts = texts.mapInArrow(cut, _CTX.format(k=kind))
     contexts = scratch.keep(contexts.dropDuplicates(["key", "ctx"]), "contexts")
-    if scratch.spark is not None:
-        spark._jvm.System.gc()  # lets Spark drop the shuffle files of the steps above
+    scratch.release()
     parts = []
     for level, width in enumerate((*WIDTHS, None)):
         per_key = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -279,6 +279,7 @@ def _with_ranges(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """docs with dk and r, the ranges to remove (null if none)."""
     ranges = repeated_ranges(docs, scratch, **options)
     per_doc = scratch.keep(ranges.distinct().groupBy("dk", "doc_id").agg(F.collect_list(F.struct("a", "b")).alias("__r")), "ranges")
+    scratch.release("flagged", "kinds", "contexts", *(f"{n}{i}" for n in ("contexts", "pieces", "same") for i in range(len(WIDTHS))))
     per_doc = per_doc.select(F.col("dk").alias("__k"), F.col("doc_id").alias("__id"), "__r")
     keyed = docs.withColumn("__dk", F.xxhash64("doc_id", "text"))
     return keyed.join(per_doc.hint("shuffle_hash"), (F.col("__dk") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__k", "__id", "__dk")
