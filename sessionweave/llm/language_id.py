@@ -31,7 +31,6 @@ from .word_tokens import _Seen
 
 FIT_ROWS, MODEL_WORDS, MODEL_LANGS, MAX_N, SMOOTH = 20_000, 20_000, 64, 5, 0.5
 NO_LANGUAGE = "und"
-_GAP = r"[^\p{L}]+"
 
 
 def fold(doc_id):
@@ -102,31 +101,40 @@ def fit(labelled: DataFrame, scratch: Scratch, rows: int = FIT_ROWS) -> Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, most_words: int = 500_000):
-        self.model, self.most = model, most_words
+    """Scores of texts; each distinct chunk between white space is split into words and scored once, and kept."""
+
+    def __init__(self, model: Model, most_chunks: int = 500_000):
+        import regex
+
+        self.model, self.most, self.words = model, most_chunks, regex.compile(r"\p{L}+")
         self._clear()
 
     def _clear(self):
-        self.seen, self.rows = _Seen(), np.zeros((0, len(self.model.langs)))
+        self.seen, self.rows, self.letters = _Seen(), np.zeros((0, len(self.model.langs))), np.zeros(0, bool)
+
+    def _new_chunks(self):
+        n = len(self.model.langs)
+        found = [self.words.findall(c) for c in self.seen.new]
+        new = [sum((self.model.word(w) for w in ws), np.zeros(n)) for ws in found]
+        self.rows = np.concatenate([self.rows, np.array(new).reshape(len(new), n)])
+        self.letters = np.concatenate([self.letters, np.array([bool(ws) for ws in found], bool)])
+        self.seen.new = []
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         if len(self.seen) > self.most:
             self._clear()
         n, langs = len(texts), self.model.langs
-        words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), _GAP)
-        offsets = words.offsets.to_numpy()
-        coded = pc.dictionary_encode(words.values.slice(offsets[0], offsets[-1] - offsets[0]))
+        chunks = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        offsets = chunks.offsets.to_numpy()
+        coded = pc.dictionary_encode(chunks.values.slice(offsets[0], offsets[-1] - offsets[0]))
         numbers = np.fromiter(map(self.seen.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         if self.seen.new:
-            new = [self.model.word(w) if w else np.zeros(len(langs)) for w in self.seen.new]
-            self.rows = np.concatenate([self.rows, np.array(new).reshape(-1, len(langs))])
-            self.seen.new = []
-        filled = np.array([bool(w) for w in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy()] if len(coded.dictionary) else np.zeros(0, bool)
+            self._new_chunks()
+        used = numbers[coded.indices.to_numpy()]
         owner = np.repeat(np.arange(n), np.diff(offsets))
-        letters = np.bincount(owner[filled], minlength=n) > 0
+        letters = np.bincount(owner[self.letters[used]], minlength=n) > 0
         if not langs:
             return [NO_LANGUAGE] * n, np.zeros(n)
-        used = numbers[coded.indices.to_numpy()]
         total = np.stack([np.bincount(owner, weights=self.rows[used, k], minlength=n) for k in range(len(langs))], axis=1) + self.model.prior
         best = total.argmax(axis=1)
         score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
