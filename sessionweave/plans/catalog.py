@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import screens, sequences
+from . import more, screens, sequences
 
-_PARTS = (sequences, screens)
+_PARTS = (sequences, screens, more)
 
 
 def queries() -> dict:
