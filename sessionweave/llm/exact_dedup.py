@@ -1,7 +1,7 @@
 """Exact dedup by deterministic block naming; DataFrame functions only.
 
 A document's normalised text (characters of ``[\\x20\\x09-\\x0D]`` deleted) is cut into blocks of BLOCK characters.
-Distinct blocks are range-sorted and numbered in that order; then names of adjacent blocks are paired and the
+Distinct blocks are range-sorted, by hash and then by value, and numbered in that order; then names of adjacent blocks are paired and the
 distinct pairs sorted into new names, level by level, until a document has one name.  Two documents get the same
 name at the same level exactly if all their characters agree, so no equality is ever decided by a hash.
 
@@ -32,9 +32,12 @@ def normalised(text):
 
 
 def _sorted_names(scratch: Scratch, distinct: DataFrame, cols: list[str], name: str, to: str) -> DataFrame:
-    """Distinct rows with integer names that follow their sort order; written, as range bounds come from a sample."""
-    ranged = distinct.repartitionByRange(*cols).sortWithinPartitions(*cols)
-    return scratch.keep(ranged.withColumn(to, F.monotonically_increasing_id()), name)
+    """Distinct rows with integer names that follow their sort order, by hash and then by value.
+
+    Ranges are cut by the hash, so that the sample of keys that goes to the driver is eight bytes a key, however long blocks
+    are, and blocks that begin alike spread over all ranges.  Written, as the bounds come from a sample."""
+    ranged = distinct.withColumn("__h", F.xxhash64(*cols)).repartitionByRange("__h").sortWithinPartitions("__h", *cols)
+    return scratch.keep(ranged.drop("__h").withColumn(to, F.monotonically_increasing_id()), name)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
