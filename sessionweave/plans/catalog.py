@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import more, screens, sequences
+from . import extra, more, screens, sequences
 
-_PARTS = (sequences, screens, more)
+_PARTS = (sequences, screens, more, extra)
 
 
 def queries() -> dict:
