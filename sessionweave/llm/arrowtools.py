@@ -26,3 +26,23 @@ def small_batches(spark) -> None:
     """Arrow batches of few rows, as rows can be long texts; and this package on every worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+
+
+def lean(run):
+    """run, giving the memory of its caches and batches back to the system when a task's rows end, as workers are reused."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner

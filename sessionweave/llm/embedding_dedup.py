@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtools import small_batches
+from .arrowtools import lean, small_batches
 from .common import Scratch, connected_components, table
 
 THRESHOLD, TABLES, BASES, BLOCK, SERVED, SIGMAS = 0.98, 6, 1, 1024, 0.9, 5.0
@@ -128,7 +128,7 @@ def _checked(vectors: DataFrame, width: str) -> DataFrame:
                     fp.append(None)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(fp, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "label", "fp", "vec"])
 
-    return vectors.select("vec_id", "label", "embedding").mapInArrow(run, f"vec_id {kind}, label {label}, fp binary, vec binary")
+    return vectors.select("vec_id", "label", "embedding").mapInArrow(lean(run), f"vec_id {kind}, label {label}, fp binary, vec binary")
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -154,7 +154,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: in
                     tab[some[take]], best[some[take]] = t, f[take]
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("label"), pa.array(dims, pa.int32()), pa.array(tab, pa.int32()), pa.array(best)], ["rid", "label", "dim", "t", "f"])
 
-    asked = scratch.keep(reps.select("rid", "label", "vec").mapInArrow(queries, f"rid long, label {label}, dim int, t int, f long"), "asked")
+    asked = scratch.keep(reps.select("rid", "label", "vec").mapInArrow(lean(queries), f"rid long, label {label}, dim int, t int, f long"), "asked")
     # tables in use and their filters in use: at most TABLES x filters rows for each length of vectors
     used: dict[tuple[int, int], np.ndarray] = {}
     for r in asked.where("t >= 0").groupBy("dim", "t").agg(F.collect_set("f").alias("fs")).collect():
@@ -175,7 +175,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: in
                     yield pa.RecordBatch.from_arrays([b.column("rid").take(at), b.column("label").take(at), pa.array(np.full(len(f), dim), pa.int32()), pa.array(np.full(len(f), t), pa.int32()), pa.array(f)], ["rid", "label", "dim", "t", "f"])
 
     key = ["label", "dim", "t", "f"]
-    kept = reps.select("rid", "label", "vec").mapInArrow(stored, f"rid long, label {label}, dim int, t int, f long")
+    kept = reps.select("rid", "label", "vec").mapInArrow(lean(stored), f"rid long, label {label}, dim int, t int, f long")
     # a rest that no table serves asks everything with its label: the key with t = -1
     rest = asked.where("t < 0").select("label", "dim").distinct()
     everything = asked.select("rid", "label", "dim").join(rest, ["label", "dim"], "left_semi").select("rid", "label", "dim", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("f"))
@@ -191,7 +191,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: in
     met = left.unionByName(right).select(F.xxhash64(*key, "i", "j").alias("task"), *key, "i", "j", "side", "rid")
     met = met.join(reps.select("rid", "n", "vec"), "rid")
     sort = ["task", *key, "i", "j", "side", "rid"]
-    got = met.repartition("task").sortWithinPartitions(*sort).mapInArrow(_links(threshold, tuple(sort[:-2]), width), "rid long, root long, links long")
+    got = met.repartition("task").sortWithinPartitions(*sort).mapInArrow(lean(_links(threshold, tuple(sort[:-2]), width)), "rid long, root long, links long")
     got = scratch.keep(got, "links")
     forest = scratch.keep(got.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")), "forest")
     comps = connected_components(scratch, forest).select(F.col("node").alias("rid"), F.col("component").alias("root"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtools import slices, small_batches
+from .arrowtools import lean, slices, small_batches
 from .common import Scratch, connected_components, table
 
 THRESHOLD, RECALL, NGRAM, GROUP, DENSE = 0.8, 0.99999, 5, 2048, 32
@@ -59,7 +59,7 @@ def intersections(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndar
     pairs = np.cumsum(a * b)
     k = 0
     while k < len(s):
-        stop = max(k + 1, int(np.searchsorted(pairs, (pairs[k - 1] if k else 0) + 4_000_000, side="right")))
+        stop = max(k + 1, int(np.searchsorted(pairs, (pairs[k - 1] if k else 0) + 500_000, side="right")))
         p, x, y = s[k:stop], a[k:stop], b[k:stop]
         of = np.repeat(np.arange(len(p)), x * y)
         i = np.arange(len(of)) - np.repeat(np.cumsum(x * y) - x * y, x * y)
@@ -71,9 +71,9 @@ def intersections(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndar
 
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs have a Jaccard similarity of threshold or more; exact, by whole numbers."""
-    t = Fraction(str(threshold))
-    both = intersections(sets_a, sets_b).astype(np.int64)
-    total = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None, :]
+    t = Fraction(str(threshold))  # 32 bits hold its products with the sizes of sets of up to 10^8 shingles
+    both = intersections(sets_a, sets_b)
+    total = np.array([len(s) for s in sets_a], np.int32)[:, None] + np.array([len(s) for s in sets_b], np.int32)[None, :]
     return (t.denominator * both >= t.numerator * (total - both)) & (both > 0)
 
 
@@ -110,7 +110,7 @@ def _sets(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     got[full] = band_hashes(h, np.append(cut[:-1][full], cut[-1]), bands, rows)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dk"), pa.array(fp, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * bands, pa.int32()), pa.array(got.ravel()))], ["doc_id", "dk", "fp", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk")).mapInArrow(run, f"doc_id {kind}, dk long, fp binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk")).mapInArrow(lean(run), f"doc_id {kind}, dk long, fp binary, bands array<long>")
 
 
 _MEMBER = "grp long, part long, side int, rid long, id {k}, n long, grams array<long>"
@@ -150,12 +150,12 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                 got = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rid", "wid", "n", "grp", "size")), got], ["rid", "id", "n", "grp", "size", "grams"])
 
-    sets = texts.select("text", "rid", "wid", "n", "grp", "size").mapInArrow(grams, f"rid long, id {kind}, n long, grp long, size long, grams array<long>")
+    sets = texts.select("text", "rid", "wid", "n", "grp", "size").mapInArrow(lean(grams), f"rid long, id {kind}, n long, grp long, size long, grams array<long>")
     sets = scratch.keep(sets.dropDuplicates(["rid"]), "grams")
     scratch.release()
 
     whole = sets.where(F.col("size") <= group)
-    in_one = whole.repartition("grp").sortWithinPartitions("grp", "rid").mapInArrow(_whole_groups(threshold), f"rid long, root long, links long, class_id {kind}")
+    in_one = whole.repartition("grp").sortWithinPartitions("grp", "rid").mapInArrow(lean(_whole_groups(threshold)), f"rid long, root long, links long, class_id {kind}")
     # larger groups: blocks of about half the size, each pair of blocks (i <= j) a task's work
     large = sets.where(F.col("size") > group).withColumn("blocks", F.ceil(F.col("size") * 2 / group).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     result = scratch.keep(in_one, "in_one").select("rid", "root", "links", "class_id")
@@ -163,7 +163,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         met = large.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         low, high = F.least("mine", "other"), F.greatest("mine", "other")
         met = met.select("grp", (low.cast("long") * F.col("blocks") + high).alias("part"), F.when(F.col("mine") == low, 0).otherwise(1).alias("side"), "rid", "id", "n", "grams")
-        got = met.repartition("grp", "part").sortWithinPartitions("grp", "part", "side", "rid").mapInArrow(_block_pairs(threshold), "rid long, root long, links long")
+        got = met.repartition("grp", "part").sortWithinPartitions("grp", "part", "side", "rid").mapInArrow(lean(_block_pairs(threshold)), "rid long, root long, links long")
         got = scratch.keep(got, "blocks")
         forest = scratch.keep(got.where("root is not null").select(F.col("rid").alias("a"), F.col("root").alias("b")), "forest")
         comps = connected_components(scratch, forest, "classes").select(F.col("node").alias("rid"), F.col("component").alias("root"))

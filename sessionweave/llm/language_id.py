@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrowtools import slices, small_batches
+from .arrowtools import lean, slices, small_batches
 from .common import Scratch, table
 from .word_tokens import _Seen
 
@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, scratch: Scratch, rows: int = FIT_ROWS) -> Model:
 class Scorer:
     """Scores of texts; each distinct chunk between white space is split into words and scored once, and kept."""
 
-    def __init__(self, model: Model, most_chunks: int = 500_000):
+    def __init__(self, model: Model, most_chunks: int = 200_000):
         import regex
 
         self.model, self.most, self.words = model, most_chunks, regex.compile(r"\p{L}+")
@@ -157,7 +157,7 @@ def predict_languages(docs: DataFrame, model: Model, keep: list[str], names: tup
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.select(*columns).mapInArrow(run, schema + f"`{names[0]}` string, `{names[1]}` double")
+    return docs.select(*columns).mapInArrow(lean(run), schema + f"`{names[0]}` string, `{names[1]}` double")
 
 
 def fit_on(docs: DataFrame) -> Model:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrowtools import slices, small_batches
+from .arrowtools import lean, slices, small_batches
 from .common import Scratch, table
 
 SEQ_LEN, END_ID = 4096, 2
@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, e
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def pack(pieces: DataFrame, seq_len: int = SEQ_LEN, scratch: Scratch | None = None, rows_a_bucket: int = 50_000) -> DataFrame:
@@ -135,7 +135,7 @@ def pack(pieces: DataFrame, seq_len: int = SEQ_LEN, scratch: Scratch | None = No
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.drop("rank").schema)
-    return ranked.mapInArrow(look_up, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(look_up), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .arrowtools import slices, small_batches
+from .arrowtools import lean, slices, small_batches
 from .bpe import PairTable, merge_words
 from .common import table
 from .word_tokens import Rows, _Seen
@@ -167,7 +167,7 @@ def encode_documents(docs: DataFrame, model_path: str, digests: bool = False) ->
                 yield pa.RecordBatch.from_arrays([doc, pa.array(np.diff(cut), pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -179,7 +179,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([codec.decode(x or []) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {kind}, text string")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

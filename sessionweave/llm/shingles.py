@@ -25,7 +25,7 @@ def bands_for(similarity: float, recall: float, most: int = 256, rows: int | Non
 class Shingler:
     """Lower-cased words between white space, n in a row; a text of fewer words is one shingle, one without words has none."""
 
-    def __init__(self, n: int = 5, most_words: int = 500_000):
+    def __init__(self, n: int = 5, most_words: int = 200_000):
         self.n, self.most = n, most_words
         self._clear()
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtools import slices, small_batches
+from .arrowtools import lean, slices, small_batches
 from .common import Scratch, table
 from .suffix import permuted_lcp, suffix_array
 
@@ -153,7 +153,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
                 row = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("dk").take(row), pa.array((at - base).astype(np.int32)), pa.array((first - base).astype(np.int32)), pa.array((last + length - base).astype(np.int32)), pa.array(h), pa.array(c)], ["doc_id", "dk", "a", "s", "e", "h", "c"])
 
-    found = scratch.keep(keyed.mapInArrow(anchors, f"doc_id {kind}, dk long, a int, s int, e int, h long, c long"), "anchors")
+    found = scratch.keep(keyed.mapInArrow(lean(anchors), f"doc_id {kind}, dk long, a int, s int, e int, h long, c long"), "anchors")
     status = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") == F.col("c1")).alias("one"))
     status = scratch.keep(status, "status")  # read back, so that a hot anchor's side of the join can be split
     flagged = scratch.keep(found.join(status, "h"), "flagged")
@@ -178,7 +178,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
                     rows += [(w["key"], w["ctx"], r["dk"], r["doc_id"], w["s"], w["a"], raw[w["s"] : w["e"]]) for w in r["w"]]
                 yield _batch(rows, b.schema.field("doc_id").type)
 
-    contexts = texts.mapInArrow(cut, _CTX.format(k=kind))
+    contexts = texts.mapInArrow(lean(cut), _CTX.format(k=kind))
     contexts = scratch.keep(contexts.dropDuplicates(["key", "ctx"]), "contexts")
     scratch.release()
     parts = []
@@ -236,7 +236,7 @@ def _sorted_shards(contexts: DataFrame, kind: str, length: int) -> DataFrame:
             yield flush()
 
     by_key = contexts.repartition("key").sortWithinPartitions("key", "ctx")
-    return by_key.mapInArrow(run, f"dk long, doc_id {kind}, a int, b int")
+    return by_key.mapInArrow(lean(run), f"dk long, doc_id {kind}, a int, b int")
 
 
 def _split(contexts: DataFrame, kind: str, width: int, length: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _split(contexts: DataFrame, kind: str, width: int, length: int) -> DataFrame
                     i = j + 1
             yield _batch(rows, b.schema.field("doc_id").type)
 
-    return contexts.mapInArrow(run, _CTX.format(k=kind))
+    return contexts.mapInArrow(lean(run), _CTX.format(k=kind))
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -331,8 +331,8 @@ def removed(docs: DataFrame, digests: bool = False, **options) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names)
 
     if digests:
-        return joined.select("doc_id", "text", "__r").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return joined.select(*names, "__r").mapInArrow(run, docs.schema)
+        return joined.select("doc_id", "text", "__r").mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select(*names, "__r").mapInArrow(lean(run), docs.schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtools import slices, small_batches
+from .arrowtools import lean, slices, small_batches
 from .common import Scratch, table
 
 MIN_REVISIT, FILE_BYTES, SHARD_BYTES, BUCKETS = 1000, 64_000_000, 32_000_000, 4096
@@ -153,7 +153,7 @@ def write_warc(pages: DataFrame, uri: str, scratch: Scratch, min_revisit: int =
         cols = list(zip(*done, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "records", "bytes", "sha1"])
 
-    return scratch.keep(rows.mapInArrow(run, "file string, records long, bytes long, sha1 string"), "manifest")
+    return scratch.keep(rows.mapInArrow(lean(run), "file string, records long, bytes long, sha1 string"), "manifest")
 
 
 def parse_records(read, size: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -208,7 +208,7 @@ def read_warc(manifest: DataFrame, uri: str, with_payload: bool = False) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return manifest.repartitionByRange("file").mapInArrow(run, schema)
+    return manifest.repartitionByRange("file").mapInArrow(lean(run), schema)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
