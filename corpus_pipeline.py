@@ -13,30 +13,54 @@ one stage's work at most.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionweave.llm import exact_dedup, jaccard_join, language_id, packing, substring_dedup
-from sessionweave.llm.common import Scratch, table
+from sessionweave.llm.common import Scratch, collecting, table
 
 ORACLE_SQL = None
+_OPEN: list[Scratch] = []  # intermediate tables of the last stage, which its written result no longer needs
+
+
+def _fresh(stage):
+    """stage, after dropping what the stage before it kept in the shared folder: its result is written by then."""
+
+    @functools.wraps(stage)
+    def inner(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for s in _OPEN:
+            if s.spark.sparkContext is spark.sparkContext:
+                s.remove()
+        _OPEN.clear()
+        spark._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
+        with collecting(_OPEN):
+            return stage(spark, docs, sf_dir)
+
+    return inner
 
 
+@_fresh
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.identified(docs)
 
 
+@_fresh
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
+@_fresh
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.near_dedup(docs)
 
 
+@_fresh
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.removed(docs)
 
 
+@_fresh
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
