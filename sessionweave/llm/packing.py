@@ -119,7 +119,7 @@ def pack(pieces: DataFrame, seq_len: int = SEQ_LEN, scratch: Scratch | None = No
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
     ranked = salted.withColumn("within", within).join(before, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("within")).drop("salt", "within", "before")
     step = 1 << 44
