@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +61,10 @@ class Scratch:
         """Drops tables that are no longer read, and lets Spark delete the shuffle files of finished steps."""
         for n in names:
             self.drop(n)
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # frames that Python has let go of, then what they held in the JVM
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def remove(self) -> None:
         """Drops all of its tables."""

@@ -183,21 +183,30 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     scratch.release()
     parts = []
     for level, width in enumerate((*WIDTHS, None)):
-        per_key = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         limit = most if level else 1  # whole contexts are always split once
+        per_key = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         if level:
             cold = contexts.join(per_key.where(F.col("n").between(2, limit)).select("key"), "key", "left_semi")
             parts.append(_sorted_shards(cold, kind, length))
         if width is None:
             break
-        hot = contexts.join(per_key.where(F.col("n") > limit).select("key"), "key", "left_semi")
-        if not hot.take(1):
+        hot = contexts.join(per_key.where(F.col("n") > limit).select("key"), "key", "left_semi") if level else contexts
+        if level and not hot.take(1):
             break
+        # pieces without their text: most are settled by their hashes
         pieces = scratch.keep(_split(hot, kind, width, length), f"pieces{level}")
-        same = scratch.keep(pieces.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"same{level}")
-        parts.append(pieces.join(same, ["key", "ctx"]).select("dk", "doc_id", F.col("s").alias("a"), (F.col("s") + F.octet_length("text")).alias("b")))
-        contexts = scratch.keep(pieces.dropDuplicates(["key", "ctx"]), f"contexts{level}")
-        # of equal pieces one goes on; if a partner is found for it the others are marked by being equal already
+        same = pieces.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pk", "pc", "i")).alias("one"))
+        same = scratch.keep(same.select("key", "ctx", "m", "one"), f"same{level}")
+        parts.append(pieces.join(same.where("m > 1").select("key", "ctx"), ["key", "ctx"]).select("dk", "doc_id", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")))
+        # of equal pieces one goes on, where others share its key: the rest are marked by being equal already
+        open_ = same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
+        go = same.join(open_, "key", "left_semi").select("key", "ctx", F.col("one.pk").alias("pk"), F.col("one.pc").alias("pc"), F.col("one.i").alias("i"))
+        size = pieces.select("pk", "pc", "i", "n").distinct()
+        go = go.join(size, ["pk", "pc", "i"])
+        whole = contexts.select(F.col("key").alias("pk"), F.col("ctx").alias("pc"), "dk", "doc_id", F.col("s").alias("s0"), "a", F.col("text").alias("all"))
+        cut_out = go.join(whole, ["pk", "pc"]).select("key", "ctx", "dk", "doc_id", (F.col("s0") + F.col("i")).alias("s"), "a", F.substring("all", F.col("i") + 1, F.col("n")).alias("text"))
+        contexts = scratch.keep(cut_out, f"contexts{level}")
+        scratch.release()
     for p in parts:
         out = out.unionByName(p)
     return out
@@ -240,29 +249,32 @@ def _sorted_shards(contexts: DataFrame, kind: str, length: int) -> DataFrame:
 
 
 def _split(contexts: DataFrame, kind: str, width: int, length: int) -> DataFrame:
-    """Pieces of contexts: the windows whose offset to the anchor falls into one group of width, keyed by the bytes in common."""
+    """Pieces of contexts: the windows whose offset to the anchor falls into one group of width, keyed by the bytes in common.
+
+    key and ctx (fingerprint) of the piece, pk, pc and i (its context and place there), n (bytes), and its place in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), None, pa.int32())
         for b in batches:
             rows = []
-            for r in b.to_pylist():
-                text, s, a = r["text"], r["s"], r["a"]
+            cols = (b.column(c).to_pylist() for c in ("key", "ctx", "dk", "doc_id", "s", "a", "text"))
+            for pk, pc, dk, doc, s, a, text in zip(*cols, strict=True):
                 n = len(text) - length + 1
                 i = 0
                 while i < n:
                     g = (a - s - i) // width
-                    least = g * width  # offsets least .. least + width - 1
-                    j = min(n - 1, a - s - least)
-                    core = text[a - s - least if a - s - least < len(text) else 0 :][: length - width + 1]
+                    at = a - s - g * width  # where the window with the group's least offset begins
+                    j = min(n - 1, at)
+                    core = text[at : at + length - width + 1]
                     piece = text[i : j + length]
-                    key = xxh3_64_intdigest(core + b"%d,%d,%d" % (r["key"], width, g)) - 2**63
-                    rows.append((key, xxh3_64_intdigest(piece, seed=1) - 2**63, r["dk"], r["doc_id"], s + i, a, piece))
+                    rows.append((xxh3_64_intdigest(core + b"%d,%d,%d" % (pk, width, g)) - 2**63, xxh3_64_intdigest(piece, seed=1) - 2**63, pk, pc, i, len(piece), dk, doc, s + i))
                     i = j + 1
-            yield _batch(rows, b.schema.field("doc_id").type)
+            out = list(zip(*rows, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t or b.schema.field("doc_id").type) for c, t in zip(out, kinds, strict=True)], ["key", "ctx", "pk", "pc", "i", "n", "dk", "doc_id", "s"])
 
-    return contexts.mapInArrow(lean(run), _CTX.format(k=kind))
+    return contexts.mapInArrow(lean(run), f"key long, ctx long, pk long, pc long, i int, n int, dk long, doc_id {kind}, s int")
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
