@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all is one process, a new one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sessionweave-")
         spark.sparkContext.setCheckpointDir(where)
     elif not spark.sparkContext.getCheckpointDir():
@@ -58,13 +60,17 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self, *names: str) -> None:
-        """Drops tables that are no longer read, and lets Spark delete the shuffle files of finished steps."""
+        """Drops tables that are no longer read, and lets Spark delete the shuffle files of finished steps when it next can."""
         for n in names:
             self.drop(n)
-        for _ in range(2):  # frames that Python has let go of, then what they held in the JVM
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
+        gc.collect()  # frames that Python has let go of, then what they held in the JVM
+        self.spark._jvm.System.gc()
+
+    def part(self, name: str) -> Scratch:
+        """A space within this one, which goes when this one goes."""
+        out = Scratch.__new__(Scratch)
+        out.spark, out.root = self.spark, self.path(f"{name}-{uuid.uuid4().hex}")
+        return out
 
     def remove(self) -> None:
         """Drops all of its tables."""
@@ -75,11 +81,6 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def row_estimate_partitions(n_bytes: float, target: float = 32e6, least: int = 1) -> int:
-    """Partitions of about target bytes each."""
-    return max(least, int(n_bytes / target) + 1)
-
-
 def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the least node reachable.
 

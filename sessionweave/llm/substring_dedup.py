@@ -3,23 +3,27 @@
 Every byte covered by a string of LENGTH bytes that also starts anywhere else, in the same document or another, goes.
 
 Sharding.  Each window of LENGTH bytes is assigned to its least GRAM-byte substring (by a content hash): equal windows have
-equal anchors, so windows need only be compared within an anchor's hash.  The windows of one anchor occurrence are adjacent
+equal anchors, so windows need only meet where their anchor's hash does.  The windows of one anchor occurrence are adjacent
 and make one context of at most 2 * LENGTH bytes; there is about one per 80 bytes of text.  Only (hash of the anchor,
-fingerprint of the context, place) is shuffled.  Anchors that occur once are settled.  Equal contexts, told by 128 bits of
-hash, are collapsed before anything is gathered: what remains of a passage that thousands of documents share is one row, and
-its members are repeats as a whole.  Of anchors with several different contexts, one context of each kind is read, split and goes
-to a shard by its key; a shard of about SHARD bytes is suffix-sorted by induced sorting (``suffix.py``), and windows whose
-permuted common prefix with a neighbour is LENGTH or more are repeats.
-
-Splitting.  Most windows of such contexts reach beyond what the documents share.  So a context is first split by the windows'
-offset to the anchor into pieces of 24 windows, keyed by the bytes that all of them have in common; pieces whose key occurs
-once are settled, equal ones are collapsed again, and only the rest is sorted.  Keys with more than MOST different pieces (the
-edge of a passage that very many documents share) are not sorted in one task but split again, into groups of 4 windows and then
-of 1; at width 1 equal pieces are equal windows.
+fingerprint of the context, place) is shuffled.  Contexts whose anchor occurs once hold no repeat.  Of the others, contexts with the
+same anchor and fingerprint are one kind; a kind's first and last place stand for all of its places, so a passage that a third
+of all documents share goes on as two.
+
+Segments.  The text around both places is cut out and goes to one shard.  Where an anchor has one kind only, adjacent contexts
+whose places lie in the same two documents at one distance make one run, so the runs of two copies of a document meet as a whole
+(cut at every STRIDE bytes).  Where an anchor has several kinds, all of its segments go to the anchor's shard.  A shard of about
+SHARD bytes is suffix-sorted by induced sorting (``suffix.py``), and windows whose permuted common prefix with a neighbour is
+LENGTH or more are repeats: that alone decides, hashes only say what meets.  What is found for a kind holds at all of its places.
+
+Splitting.  Anchors with more than MOST kinds (the edge of a passage that very many documents share) are not sorted in one
+task: their contexts are split by the windows' offset to the anchor into pieces of 24 windows, keyed by the bytes that all of
+them have in common, then of 4 and of 1; pieces are contexts under their new key, and are sorted as those are.  At width 1 a key
+holds equal windows only.
 
 Defined results: null text counts as empty; texts under LENGTH bytes keep everything; overlapping occurrences count;
 repeated rows are occurrences of their own, so their windows are repeats; a null doc_id is a document as any other; an empty
-table gives no rows; other columns are untouched.
+table gives no rows; other columns are untouched.  A text is searched CHUNK windows at a time, so its length has no bound but that of a
+value in Spark; the ranges found in a document are gathered in its row, a few numbers for every 80 bytes of it.
 """
 
 from __future__ import annotations
@@ -29,14 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrowtools import lean, slices, small_batches
 from .common import Scratch, table
 from .suffix import permuted_lcp, suffix_array
 
-LENGTH, GRAM, SHARD, MOST, WIDTHS = 200, 40, 1_000_000, 2000, (24, 4, 1)
+LENGTH, GRAM, SHARD, MOST, WIDTHS, STRIDE, CHUNK = 200, 40, 1_000_000, 2000, (24, 4, 1), 16384, 4_000_000
 _U = np.uint64
 
 
@@ -53,8 +57,19 @@ class Anchors:
             self.power = np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, self.base, _U)]), dtype=_U)
             self.inverse = np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, pow(self.base, -1, 2**64), _U)]), dtype=_U)
 
-    def find(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """document, anchor, first and last window (places in flat) and anchor hash of each context; ends: of the documents."""
+    def find(self, flat: np.ndarray, ends: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
+        """document, anchor, first and last window (places in flat) and anchor hash of each context; ends: of the documents.
+
+        Windows are taken chunk at a time; a context that two chunks share comes in two parts, each with its own windows."""
+        parts = []
+        for a in range(0, max(1, len(flat) - self.length + 1), chunk):
+            b = min(len(flat), a + chunk + self.length - 1)
+            first = int(np.searchsorted(ends, a, side="right"))
+            doc, *places, h = self._find(flat[a:b], np.minimum(ends[first : int(np.searchsorted(ends, b)) + 1], b) - a)
+            parts.append((doc + first, *(p + a for p in places), h))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _find(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         n, span = len(flat), self.length - self.gram + 1
         none = np.zeros(0, np.int64)
         if n < self.length:
@@ -121,17 +136,10 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-_CTX = "key long, ctx long, dk long, doc_id {k}, s int, a int, text binary"
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumn("dk", F.xxhash64("doc_id", "text"))
 
 
-def _same_doc(a: DataFrame, b: DataFrame):
-    return (a["dk"] == b["dk"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-
-
 def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """dk, doc_id, a, b: byte ranges [a, b) of documents to remove; ranges overlap."""
     spark = docs.sparkSession
@@ -154,113 +162,123 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("dk").take(row), pa.array((at - base).astype(np.int32)), pa.array((first - base).astype(np.int32)), pa.array((last + length - base).astype(np.int32)), pa.array(h), pa.array(c)], ["doc_id", "dk", "a", "s", "e", "h", "c"])
 
     found = scratch.keep(keyed.mapInArrow(lean(anchors), f"doc_id {kind}, dk long, a int, s int, e int, h long, c long"), "anchors")
-    status = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") == F.col("c1")).alias("one"))
-    status = scratch.keep(status, "status")  # read back, so that a hot anchor's side of the join can be split
+    status = scratch.keep(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "status")  # read back, so that a hot anchor's side of the join can be split
     flagged = scratch.keep(found.join(status, "h"), "flagged")
     scratch.release("anchors", "status")
-    kinds = flagged.where("not one").groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("dk", "doc_id", "s", "e", "a"), F.struct("dk", "s")).alias("rep"))
-    kinds = scratch.keep(kinds, "kinds")
-    collapsed = kinds.where("m > 1").select("h", "c")
-    out = flagged.where("one").select("dk", "doc_id", F.col("s").alias("a"), F.col("e").alias("b"))
-    out = out.unionByName(flagged.where("not one").join(collapsed, ["h", "c"]).select("dk", "doc_id", F.col("s").alias("a"), F.col("e").alias("b")))
+    place = F.struct("dk", "doc_id", "s", "e", "a")
+    kinds = flagged.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("p"), F.max(place).alias("q"))
+    kinds = scratch.keep(kinds.select(F.col("h").alias("key"), F.col("c").alias("ctx"), "m", "p", "q", F.lit(0).alias("i"), (F.col("p.e") - F.col("p.s")).alias("n")), "kinds0")
 
-    # one context of each kind is cut from its document
-    wanted = kinds.select("rep.dk", "rep.doc_id", F.struct(F.col("h").alias("key"), F.col("c").alias("ctx"), "rep.s", "rep.e", "rep.a").alias("w")).groupBy("dk", "doc_id").agg(F.collect_list("w").alias("w"))
-    wanted = wanted.select(F.col("dk").alias("wk"), F.col("doc_id").alias("wid"), "w")
-    texts = keyed.join(wanted.hint("shuffle_hash"), (F.col("dk") == F.col("wk")) & F.col("doc_id").eqNullSafe(F.col("wid"))).select("dk", "doc_id", "text", "w")
+    # level 0 holds whole contexts; each further one the pieces of those whose keys are held by too many
+    marks, parents = [], []
+    for level, width in enumerate((*WIDTHS, None)):
+        per_key = scratch.keep(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("places")).where("places > 1").select("key", "kinds"), f"keys{level}")
+        now = kinds.join(per_key if width is None else per_key.where(F.col("kinds") <= most), "key")
+        marks.append(scratch.keep(_sorted_shards(_segments(now, keyed, kind, length), length), f"marks{level}"))
+        hot = per_key.where(F.col("kinds") > most)
+        if width is None or not hot.take(1):
+            break
+        pieces = scratch.keep(_split(_texts(kinds.join(hot.select("key"), "key", "left_semi"), keyed), width, length), f"pieces{level}")
+        parents.append(pieces.select("key", "ctx", "pk", "pc", "i"))
+        kinds = scratch.keep(pieces.groupBy("key", "ctx").agg(F.sum("m").alias("m"), F.min("p").alias("p"), F.max("q").alias("q"), F.min("n").alias("n")).select("key", "ctx", "m", "p", "q", F.lit(0).alias("i"), "n"), f"kinds{level + 1}")
+    out = marks.pop()
+    while marks:  # from pieces to what they were cut from, level by level
+        of = parents[len(marks) - 1]
+        up = out.join(of, ["key", "ctx"]).select(F.col("pk").alias("key"), F.col("pc").alias("ctx"), (F.col("i") + F.col("from")).alias("from"), (F.col("i") + F.col("to")).alias("to"))
+        out = marks.pop().unionByName(up)
+    out = out.select(F.col("key").alias("h"), F.col("ctx").alias("c"), "from", "to")
+    return flagged.join(out, ["h", "c"]).select("dk", "doc_id", (F.col("s") + F.col("from")).alias("a"), (F.col("s") + F.col("to") - 1 + length).alias("b"))
+
+
+def _texts(kinds: DataFrame, keyed: DataFrame) -> DataFrame:
+    """kinds with the bytes at their first place: key, ctx, m, p, q, text."""
+    wanted = kinds.select("key", "ctx", "m", "p", "q", F.col("p.dk").alias("wk"), F.col("p.doc_id").alias("wid"))
+    per = wanted.groupBy("wk", "wid").agg(F.collect_list(F.struct("key", "ctx", "m", "p", "q")).alias("w"))
+    same = (F.col("dk") == F.col("wk")) & F.col("doc_id").eqNullSafe(F.col("wid"))
+    rows = keyed.dropDuplicates(["dk", "doc_id"]).join(per, same).select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), F.explode("w").alias("w"))
+    return rows.select("w.*", F.substring("raw", F.col("w.p.s") + 1, F.col("w.p.e") - F.col("w.p.s")).alias("text"))
+
+
+def _segments(kinds: DataFrame, keyed: DataFrame, kind: str, length: int) -> DataFrame:
+    """key, text, marks (the kinds whose windows are told by what the text holds: key, ctx, o, n) of texts to sort; a key's
+    segments meet in one shard.  kinds: key, ctx, m, p and q (first and last place), kinds (under the key)."""
+    alone = kinds.where("kinds = 1 and m > 1")
+    # a run: adjacent contexts of p's document whose q is in one other document, at one distance
+    by = Window.partitionBy("p.dk", "p.doc_id").orderBy("p.s", "p.e")
+    fits = (F.lag("p.e").over(by) - length + 1 == F.col("p.s")) & (F.lag("q.dk").over(by) == F.col("q.dk")) & F.lag("q.doc_id").over(by).eqNullSafe(F.col("q.doc_id")) & (F.lag(F.col("q.s") - F.col("p.s")).over(by) == F.col("q.s") - F.col("p.s"))
+    runs = alone.withColumn("new", F.when(fits, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("p.dk", "p.doc_id", "run", F.expr(f"p.s div {STRIDE}").alias("part")).agg(F.min("p.s").alias("a"), F.max("p.e").alias("b"), F.min("q").alias("q"), F.collect_list(F.struct("key", "ctx", "p.s", "n")).alias("of"))
+    runs = runs.withColumn("group", F.xxhash64("dk", "doc_id", "run", "part"))
+    first = runs.select("dk", "doc_id", F.struct("group", "a", "b", F.expr("transform(of, x -> struct(x.key as key, x.ctx as ctx, x.s - a as o, x.n as n))").alias("marks")).alias("w"))
+    none = F.expr("cast(array() as array<struct<key:bigint,ctx:bigint,o:int,n:int>>)")
+    second = runs.select(F.col("q.dk").alias("dk"), F.col("q.doc_id").alias("doc_id"), F.struct("group", F.col("q.s").alias("a"), (F.col("q.s") + F.col("b") - F.col("a")).alias("b"), none.alias("marks")).alias("w"))
+    several = kinds.where("kinds > 1")
+    one = several.select("p.dk", "p.doc_id", F.struct(F.col("key").alias("group"), F.col("p.s").alias("a"), F.col("p.e").alias("b"), F.array(F.struct("key", "ctx", F.lit(0).alias("o"), "n")).alias("marks")).alias("w"))
+    two = several.where("m > 1").select("q.dk", "q.doc_id", F.struct(F.col("key").alias("group"), F.col("q.s").alias("a"), F.col("q.e").alias("b"), none.alias("marks")).alias("w"))
+    wanted = first.union(second).union(one).union(two).groupBy(F.col("dk").alias("wk"), F.col("doc_id").alias("wid")).agg(F.collect_list("w").alias("w"))
+    texts = keyed.join(wanted.hint("shuffle_hash"), (F.col("dk") == F.col("wk")) & F.col("doc_id").eqNullSafe(F.col("wid"))).select("text", "w")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [pa.struct([("key", pa.int64()), ("ctx", pa.int64()), ("o", pa.int32()), ("n", pa.int32())])]
         for whole in batches:
             for b in slices(whole, "text", 500_000):
                 rows = []
-                for r in b.to_pylist():
-                    raw = (r["text"] or "").encode()
-                    rows += [(w["key"], w["ctx"], r["dk"], r["doc_id"], w["s"], w["a"], raw[w["s"] : w["e"]]) for w in r["w"]]
-                yield _batch(rows, b.schema.field("doc_id").type)
-
-    contexts = texts.mapInArrow(lean(cut), _CTX.format(k=kind))
-    contexts = scratch.keep(contexts.dropDuplicates(["key", "ctx"]), "contexts")
-    scratch.release()
-    parts = []
-    for level, width in enumerate((*WIDTHS, None)):
-        limit = most if level else 1  # whole contexts are always split once
-        per_key = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        if level:
-            cold = contexts.join(per_key.where(F.col("n").between(2, limit)).select("key"), "key", "left_semi")
-            parts.append(_sorted_shards(cold, kind, length))
-        if width is None:
-            break
-        hot = contexts.join(per_key.where(F.col("n") > limit).select("key"), "key", "left_semi") if level else contexts
-        if level and not hot.take(1):
-            break
-        # pieces without their text: most are settled by their hashes
-        pieces = scratch.keep(_split(hot, kind, width, length), f"pieces{level}")
-        same = pieces.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pk", "pc", "i")).alias("one"))
-        same = scratch.keep(same.select("key", "ctx", "m", "one"), f"same{level}")
-        parts.append(pieces.join(same.where("m > 1").select("key", "ctx"), ["key", "ctx"]).select("dk", "doc_id", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")))
-        # of equal pieces one goes on, where others share its key: the rest are marked by being equal already
-        open_ = same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
-        go = same.join(open_, "key", "left_semi").select("key", "ctx", F.col("one.pk").alias("pk"), F.col("one.pc").alias("pc"), F.col("one.i").alias("i"))
-        size = pieces.select("pk", "pc", "i", "n").distinct()
-        go = go.join(size, ["pk", "pc", "i"])
-        whole = contexts.select(F.col("key").alias("pk"), F.col("ctx").alias("pc"), "dk", "doc_id", F.col("s").alias("s0"), "a", F.col("text").alias("all"))
-        cut_out = go.join(whole, ["pk", "pc"]).select("key", "ctx", "dk", "doc_id", (F.col("s0") + F.col("i")).alias("s"), "a", F.substring("all", F.col("i") + 1, F.col("n")).alias("text"))
-        contexts = scratch.keep(cut_out, f"contexts{level}")
-        scratch.release()
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
+                for text, ws in zip(b.column("text").to_pylist(), b.column("w").to_pylist(), strict=True):
+                    raw = (text or "").encode()
+                    rows += [(w["group"], raw[w["a"] : w["b"]], w["marks"]) for w in ws]
+                cols = list(zip(*rows, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.list_(fields[0])), strict=True)], ["key", "text", "marks"])
 
-def _batch(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), doc_type, pa.int32(), pa.int32(), pa.binary())
-    cols = list(zip(*rows, strict=True)) or [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "ctx", "dk", "doc_id", "s", "a", "text"])
+    return texts.mapInArrow(lean(cut), "key long, text binary, marks array<struct<key:bigint,ctx:bigint,o:int,n:int>>")
 
 
-def _sorted_shards(contexts: DataFrame, kind: str, length: int) -> DataFrame:
-    """Ranges of contexts' repeated windows; contexts with the same key meet in one shard."""
+def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
+    """key, ctx, from, to: windows [from, to) of kinds that are repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size = 0
+        held: list[tuple[bytes, list[dict]]] = []
+        size, last = 0, None
 
         def flush() -> pa.RecordBatch:
             rows = []
-            for r, mask in zip(held, repeated_windows([r["text"] for r in held], length) if held else [], strict=True):
-                rows += [(r["dk"], r["doc_id"], r["s"] + i, r["s"] + j - 1 + length) for i, j in _runs(mask)]
+            for (_, marks), mask in zip(held, repeated_windows([t for t, _ in held], length) if held else [], strict=True):
+                for k in marks:
+                    rows += [(k["key"], k["ctx"], i, j) for i, j in _runs(mask[k["o"] : k["o"] + k["n"] - length + 1])]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), doc_type, pa.int32(), pa.int32()), strict=True)], ["dk", "doc_id", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "ctx", "from", "to"])
 
-        doc_type = pa.int64()
         for b in batches:
-            doc_type = b.schema.field("doc_id").type
-            for r in b.to_pylist():
-                if size >= SHARD and r["key"] != held[-1]["key"]:
+            for key, text, marks in zip(*(b.column(c).to_pylist() for c in ("key", "text", "marks")), strict=True):
+                if size >= SHARD and key != last:
                     yield flush()
                     held, size = [], 0
-                held.append(r)
-                size += len(r["text"]) + 1
+                held.append((text, marks))
+                size, last = size + len(text) + 1, key
         if held:
             yield flush()
 
-    by_key = contexts.repartition("key").sortWithinPartitions("key", "ctx")
-    return by_key.mapInArrow(lean(run), f"dk long, doc_id {kind}, a int, b int")
+    # a row that occurs twice brings its segments twice, which changes nothing: its windows are repeats
+    by_key = segments.repartition("key").sortWithinPartitions("key")
+    return by_key.mapInArrow(lean(run), "key long, ctx long, from int, to int").distinct()
 
 
-def _split(contexts: DataFrame, kind: str, width: int, length: int) -> DataFrame:
-    """Pieces of contexts: the windows whose offset to the anchor falls into one group of width, keyed by the bytes in common.
+_PLACE = "struct<dk:bigint,doc_id:{k},s:int,e:int,a:int>"
 
-    key and ctx (fingerprint) of the piece, pk, pc and i (its context and place there), n (bytes), and its place in the document."""
+
+def _split(contexts: DataFrame, width: int, length: int) -> DataFrame:
+    """Pieces of contexts(key, ctx, m, p, q, text): the windows whose offset to the anchor falls into one group of width.
+
+    key (of the bytes that all windows of the group have in common) and ctx (fingerprint), pk, pc and i (the context it was cut
+    from and where), n (bytes), m, and p and q, its places in the documents."""
+    kind = contexts.schema["p"].dataType["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), None, pa.int32())
         for b in batches:
-            rows = []
-            cols = (b.column(c).to_pylist() for c in ("key", "ctx", "dk", "doc_id", "s", "a", "text"))
-            for pk, pc, dk, doc, s, a, text in zip(*cols, strict=True):
+            row, rows = [], []
+            cols = (b.column(c).to_pylist() for c in ("key", "ctx", "m", "text", "s", "a"))
+            for at_row, (pk, pc, m, text, s, a) in enumerate(zip(*cols, strict=True)):
                 n = len(text) - length + 1
                 i = 0
                 while i < n:
@@ -269,12 +287,22 @@ def _split(contexts: DataFrame, kind: str, width: int, length: int) -> DataFrame
                     j = min(n - 1, at)
                     core = text[at : at + length - width + 1]
                     piece = text[i : j + length]
-                    rows.append((xxh3_64_intdigest(core + b"%d,%d,%d" % (pk, width, g)) - 2**63, xxh3_64_intdigest(piece, seed=1) - 2**63, pk, pc, i, len(piece), dk, doc, s + i))
+                    row.append(at_row)
+                    rows.append((xxh3_64_intdigest(core + b"%d,%d,%d" % (pk, width, g)) - 2**63, xxh3_64_intdigest(piece, seed=1) - 2**63, pk, pc, i, len(piece), m))
                     i = j + 1
-            out = list(zip(*rows, strict=True)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, t or b.schema.field("doc_id").type) for c, t in zip(out, kinds, strict=True)], ["key", "ctx", "pk", "pc", "i", "n", "dk", "doc_id", "s"])
+            out = list(zip(*rows, strict=True)) or [[]] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types, strict=True)), b.column("p").take(take), b.column("q").take(take)], ["key", "ctx", "pk", "pc", "i", "n", "m", "p0", "q0"])
+
+    place = _PLACE.format(k=kind)
+    flat = contexts.select("key", "ctx", "m", "text", "p", "q", "p.s", "p.a")
+    cut = flat.mapInArrow(lean(run), f"key long, ctx long, pk long, pc long, i int, n int, m long, p0 {place}, q0 {place}")
+
+    def at(c: str):
+        return F.struct(F.col(f"{c}.dk").alias("dk"), F.col(f"{c}.doc_id").alias("doc_id"), (F.col(f"{c}.s") + F.col("i")).alias("s"), (F.col(f"{c}.s") + F.col("i") + F.col("n")).alias("e"), F.col(f"{c}.a").alias("a"))
 
-    return contexts.mapInArrow(lean(run), f"key long, ctx long, pk long, pc long, i int, n int, dk long, doc_id {kind}, s int")
+    return cut.select("key", "ctx", "pk", "pc", "i", "n", "m", at("p0").alias("p"), at("q0").alias("q"))
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -288,10 +316,10 @@ def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
 
 
 def _with_ranges(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """docs with dk and r, the ranges to remove (null if none)."""
+    """docs with r, the ranges to remove (null if none)."""
     ranges = repeated_ranges(docs, scratch, **options)
     per_doc = scratch.keep(ranges.distinct().groupBy("dk", "doc_id").agg(F.collect_list(F.struct("a", "b")).alias("__r")), "ranges")
-    scratch.release("flagged", "kinds", "contexts", *(f"{n}{i}" for n in ("contexts", "pieces", "same") for i in range(len(WIDTHS))))
+    scratch.release("flagged", *(f"{n}{i}" for n in ("kinds", "keys", "marks", "pieces") for i in range(len(WIDTHS) + 1)))
     per_doc = per_doc.select(F.col("dk").alias("__k"), F.col("doc_id").alias("__id"), "__r")
     keyed = docs.withColumn("__dk", F.xxhash64("doc_id", "text"))
     return keyed.join(per_doc.hint("shuffle_hash"), (F.col("__dk") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__k", "__id", "__dk")
@@ -310,10 +338,10 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def removed(docs: DataFrame, digests: bool = False, **options) -> DataFrame:
+def removed(docs: DataFrame, digests: bool = False, scratch: Scratch | None = None, **options) -> DataFrame:
     """docs with text cut (characters that would be left in part stay whole), and all other columns;
     with digests: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the exact byte ranges."""
-    scratch = Scratch(docs.sparkSession, "substring")
+    scratch = scratch or Scratch(docs.sparkSession, "substring")
     joined = _with_ranges(docs, scratch, **options)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else docs.columns
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -1,118 +1,155 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 Suffixes are classified as larger (L) or smaller (S) than the next one; the leftmost S of each run (LMS) cut the text into
-substrings.  Those are named in sorted order, the string of names is sorted recursively where names repeat, and the order of
-the LMS suffixes then induces that of the L suffixes (each follows from its right neighbour, up to the next LMS) and, from
-those, of the S suffixes (up to the next L).  A suffix is placed by the symbols along its chain of right neighbours and the
-place of the suffix the chain ends at; that takes a sort of packed keys instead of a scan over buckets, and works alike for
-bytes and for names.
+substrings.  One pass over the buckets in rising order places the L suffixes behind the LMS ones, one in falling order places
+the S suffixes behind the L ones.  A first such pair of passes sorts the LMS substrings; they are named, the string of names is
+sorted recursively where names repeat, and a second pair of passes induces the whole array from the sorted LMS suffixes.
+
+A bucket is the unit of vectorisation: all suffixes of a bucket that are known look one place to the left at once, and what they
+find is dealt stably to the ends of its buckets.  Suffixes found for the bucket itself are the next round there, so a bucket takes
+as many rounds as the longest run of its symbol.  Every suffix is placed once a pass, so a pass is linear.  To keep the number of
+buckets small, names are written as two digits in the recursion where they are many.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+MANY, FEW, SHORT = 1024, 4096, 3000  # names beyond MANY are written as two digits; strings up to SHORT are sorted by doubling
+
+
+def _bucket_pass(text: np.ndarray, seeds: np.ndarray, cut: np.ndarray, member: np.ndarray, symbols: list[int], size: np.ndarray) -> np.ndarray:
+    """Members (a mask of suffixes) in the order in which a scan of the buckets in the order symbols comes to place them.
+
+    seeds[cut[c] : cut[c + 1]] are the suffixes of bucket c that are known already; they come after its members.  size: members
+    by symbol.  The result holds the buckets by symbol, each in the scan's order."""
+    start = np.cumsum(size) - size
+    fill = start.copy()
+    out = np.empty(int(size.sum()), np.int32)
+    count_up = np.arange(max(len(out), len(seeds)))
+
+    def place(batch: np.ndarray) -> None:
+        j = batch - 1
+        j = j.compress(member.take(j))
+        if not len(j):
+            return
+        s = text.take(j)
+        order = s.argsort(kind="stable")  # a radix sort for symbols of 16 bits
+        s = s.take(order)
+        if len(size) <= FEW:
+            count = np.bincount(s, minlength=len(size))
+            to = (fill - count.cumsum() + count).take(s)
+            to += count_up[: len(s)]
+            out[to] = j.take(order)
+            fill.__iadd__(count)
+        else:
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            count = np.diff(np.append(first, len(s)))
+            named = s[first]
+            out[np.repeat(fill[named] - first, count) + count_up[: len(s)]] = j.take(order)
+            fill[named] += count
+
+    for c in symbols:
+        a = start[c]
+        while a < fill[c]:
+            batch = out[a : fill[c]]
+            a = fill[c]
+            place(batch)
+        if cut[c] < cut[c + 1]:
+            place(seeds[cut[c] : cut[c + 1]])
+    return out
+
 
-def _steps(stops: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Distance of each position in at to the next stop."""
-    stop = np.flatnonzero(stops)
-    return stop[np.searchsorted(stop, at)] - at
-
-
-def _chain_rank(at: np.ndarray, steps: np.ndarray, code: np.ndarray, codes: int) -> np.ndarray:
-    """Ranks of the chains that begin at the positions at: their codes, as far as steps positions to the right.
-
-    As many codes as fit are compared in one sort; chains still tied go on.  Equal chains get the place of the first."""
-    bits = int(codes).bit_length() + 1
-    take = max(1, 62 // bits)
-
-    def packed(pos: np.ndarray, left: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(pos), np.int64)
-        for j in range(take):
-            key <<= bits
-            more = left >= j
-            key[more] += code[pos[more] + j] + 1
-        return key
-
-    def places(order: np.ndarray, new: np.ndarray, base: np.ndarray | int) -> np.ndarray:
-        out = np.empty(len(order), np.int64)
-        out[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) + base
-        return out
-
-    if not len(at):
-        return np.zeros(0, np.int64)
-    key = packed(at, steps)
-    order = np.argsort(key)
-    k = key[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    rank = places(order, new, 0)
-    done = take
+def _doubled(text: np.ndarray) -> np.ndarray:
+    """Suffix array of a short text, where the recursion ends, by doubling the compared length."""
+    n, k = len(text), 1
+    rank = text.astype(np.int64)
     while True:
-        longer = steps >= done
-        if not longer.any():
-            return rank
-        size = np.bincount(rank, minlength=len(rank))
-        tied = np.flatnonzero(longer & (size[rank] > 1))
-        if not len(tied):
-            return rank
-        # a tied chain that has ended stays first in its group: it equals only chains that ended too
-        group = np.flatnonzero(np.isin(rank, np.unique(rank[tied])))
-        key = packed(at[group] + np.minimum(done, steps[group]), np.where(steps[group] >= done, steps[group] - done, -1))
-        order = np.lexsort((key, rank[group]))
-        r, k = rank[group][order], key[order]
-        first = np.concatenate([[True], r[1:] != r[:-1]])
-        new = first | np.concatenate([[True], k[1:] != k[:-1]])
-        where = np.arange(len(order))
-        begin = np.maximum.accumulate(np.where(first, where, 0))
-        out = np.empty(len(order), np.int64)
-        out[order] = r + np.maximum.accumulate(np.where(new, where, 0)) - begin
-        rank[group] = out
-        done += take
+        key = rank * (int(rank.max()) + 2)
+        key[:-k] += rank[k:] + 1
+        order = key.argsort(kind="stable")
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        if rank[order[-1]] == n - 1:
+            return order
+        k *= 2
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of text (small non-negative integers), whose last symbol is its least and occurs once."""
+    """Suffix array of text (non-negative integers), whose last symbol is its least and occurs once."""
     n = len(text)
     if n <= 2:
         return np.arange(n)[::-1].copy()
-    text = text.astype(np.int64)
+    if n <= SHORT:
+        return _doubled(text)
     sigma = int(text.max()) + 1
+    text = text.astype(np.uint16 if sigma <= 1 << 16 else np.int64)
     change = np.flatnonzero(text[1:] != text[:-1])
-    nxt = change[np.searchsorted(change, np.arange(n - 1))]
-    small = np.append(text[nxt + 1] > text[nxt], True)
+    small = np.append(np.repeat(text[change + 1] > text[change], np.diff(change, prepend=-1)), True)
     lms = small.copy()
     lms[0] = False
     lms[1:] &= ~small[:-1]
-    where, at_l, at_s = np.flatnonzero(lms), np.flatnonzero(~small), np.flatnonzero(small)
-    steps_l = _steps(lms, at_l)  # a chain of L ends at the next LMS, one of S at the next L
-    steps_s = np.append(_steps(~small, at_s[:-1]), 0) if len(at_l) else np.zeros(len(at_s), np.int64)
-    below = lambda pos: np.concatenate([[0], np.cumsum(np.bincount(text[pos], minlength=sigma))])
-    lms_below, l_below, s_below = below(where), below(at_l), below(at_s)
-    code = np.empty(n, np.int64)
-
-    def induce(lms_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the L suffixes among themselves and of the S suffixes, from those of the LMS suffixes."""
-        code[at_l] = lms_below[text[at_l]] + text[at_l]  # L comes before S where the symbol is the same
-        code[where] = lms_place + text[where] + 1
-        rank_l = _chain_rank(at_l, steps_l, code, len(where) + sigma + 2)
-        code[at_s] = l_below[text[at_s] + 1] + text[at_s]
-        code[at_l] = rank_l + text[at_l]
-        return rank_l, _chain_rank(at_s, steps_s, code, len(at_l) + sigma + 2)
-
-    place = np.full(n, -1, np.int64)
-    place[at_s] = induce(lms_below[text[where]])[1]  # LMS suffixes told apart by their first symbol only: sorts LMS substrings
-    found = place[where]
-    held = np.zeros(n + 1, np.int64)
-    held[found] = 1
-    names = (np.cumsum(held) - 1)[found]
-    if int(names.max()) + 1 < len(where):
-        order = suffix_array(names)
-        names = np.empty(len(where), np.int64)
-        names[order] = np.arange(len(where))
-    rank_l, rank_s = induce(names)
+    where = np.flatnonzero(lms).astype(np.int32)
+    total, larger = np.bincount(text, minlength=sigma), np.bincount(text[~small], minlength=sigma)
+    smaller = total - larger
+    smaller[text[-1]] -= 1  # the closing symbol is known, not induced
+    present = np.flatnonzero(total).tolist()
+    is_l, is_s = ~small, small.copy()
+    is_s[-1] = False
+    lms_cut = np.concatenate([[0], np.cumsum(np.bincount(text[where], minlength=sigma))])
+    l_cut = np.concatenate([[0], np.cumsum(larger)])
+
+    def induce(sorted_lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """L suffixes in order, and S suffixes by symbol in falling order, from LMS suffixes that are sorted (by symbol at least)."""
+        l_part = _bucket_pass(text, sorted_lms, lms_cut, is_l, present, larger)
+        # in the falling scan a bucket's L suffixes come after its S suffixes, largest first
+        owner = np.repeat(np.arange(sigma), larger)
+        falling = l_part[l_cut[owner] + l_cut[owner + 1] - 1 - np.arange(len(l_part))]
+        return l_part, _bucket_pass(text, falling, l_cut, is_s, present[::-1], smaller)
+
+    s_end = np.cumsum(smaller)
+
+    def rising(s_part: np.ndarray) -> np.ndarray:
+        owner = np.repeat(np.arange(sigma), smaller)
+        return s_part[(s_end - smaller)[owner] + s_end[owner] - 1 - np.arange(len(s_part))]
+
+    by_symbol = where[np.argsort(text[where], kind="stable")]
+    s_sorted = rising(induce(by_symbol)[1])
+    found = np.concatenate([[n - 1], s_sorted[lms[s_sorted]]])  # LMS suffixes sorted by their LMS substrings
+    end = np.zeros(n, np.int64)
+    end[where] = np.append(where[1:], n - 1)
+    length = end[found] - found + 1
+    same = length[1:] == length[:-1]
+    a, b, k = found[:-1][same], found[1:][same], length[1:][same]
+    if len(k):
+        first = np.cumsum(k) - k
+        step = np.arange(int(k.sum())) - np.repeat(first, k)
+        same[np.flatnonzero(same)] = ~np.logical_or.reduceat(text[np.repeat(a, k) + step] != text[np.repeat(b, k) + step], first)
+    names = np.zeros(n, np.int64)
+    names[found] = np.concatenate([[0], np.cumsum(~same)])
+    names = names[where]
+    held = int(names.max()) + 1
+    if held < len(where):
+        if held <= MANY or 2 * len(where) > 0.9 * n:
+            order = suffix_array(names)
+        else:
+            base = int(np.ceil(np.sqrt(held + 1)))
+            digits = np.zeros(2 * len(names) + 1, np.int64)
+            digits[:-1:2], digits[1::2] = names // base + 1, names % base + 1
+            order = suffix_array(digits)
+            order = order[(order % 2 == 0) & (order < 2 * len(names))] // 2
+        found = where[order]
+    l_part, s_part = induce(found)
     out = np.empty(n, np.int64)
-    out[rank_l + s_below[text[at_l]]] = at_l
-    out[rank_s + l_below[text[at_s] + 1]] = at_s
+    head = np.cumsum(total) - total
+    out[0] = n - 1
+    owner = np.repeat(np.arange(sigma), larger)
+    out[head[owner] + np.arange(len(l_part)) - l_cut[owner]] = l_part
+    owner = np.repeat(np.arange(sigma), smaller)
+    tail = head + total
+    s_part = rising(s_part)
+    out[tail[owner] - s_end[owner] + np.arange(len(s_part))] = s_part
     return out
 
 
