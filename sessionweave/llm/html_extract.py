@@ -1,20 +1,28 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Pass one decides blocks: inside a container for menus, forms, adverts,
-comments and the like (by tag, role or a word of its class or id) or with mostly linked text a block is boilerplate; with
-enough words and enough stop words of any known language it is text; the rest is ambiguous.  In pass two an ambiguous
-block takes the label of the nearest decided blocks of its own area (an article or main part, or what lies outside); where
-they differ it is boilerplate.  Blocks of dropped containers are nobody's neighbours.  A plain block inside the article is
-text, as nothing of an article may be lost; and where marked articles hold most of the text, nothing outside is kept.
+A page is cut into blocks at block-level tags, with the end tags that HTML lets pages leave out.  Pass one decides blocks by link
+density, length and stop-word density: mostly linked text is boilerplate, enough words with enough stop words and few links are
+text, the rest is ambiguous.  In pass two an ambiguous block inherits the label of its nearest decided neighbour; of two that are
+as near, text wins.  Stop words are words of at most three letters: in any language that writes spaces the function words are
+among the shortest, so no list of a language is needed.
+
+Containers that the page itself marks as menus, headers, footers, sidebars, notices, adverts, forms or reader comments (by tag,
+role or a whole name in its class or id) are left out, and their blocks are nobody's neighbours.  Such a mark is firm for tags, roles
+and comments, and weak for forms and names, which pages also put around everything.  What is searched is the first of these
+that holds a block decided as text: the marked articles (article, main); all blocks outside marked containers; articles within
+weakly marked containers; what lies in one weakly marked container only.  Where none does, the first that holds any text.  Within an
+article nothing is boilerplate but marked containers; with a decided article, nothing outside it is text.
 
 Defined results: null html counts as empty; a page without text gives the empty string; text after an unclosed comment,
-script or style is lost to it, as in browsers; unclosed tags end with their container; no length is capped.
+script or style is lost to it, as in browsers; a null page_id or url stays null; repeated rows are pages of their own; an empty
+table gives no rows; other columns are ignored; no length is capped, and time is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,58 +31,131 @@ from pyspark.sql import DataFrame, SparkSession
 from .arrowtools import lean, slices, small_batches
 from .common import table
 
-# fixed values: tags that begin a block, tags whose content is not the page's text, tags that have no content
-BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
-DROPPED_TAGS = frozenset("aside button canvas dialog embed footer form head iframe input menu nav noscript object option script search select style svg template textarea title".split())
-RAW_TAGS = frozenset("script style textarea title noscript template svg iframe select".split())
+# fixed values: tags that begin a block, that close an open p, whose content is not the page's text, that have no content
+BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+CLOSE_P = BLOCK_TAGS - frozenset("body head html legend option optgroup tbody td tfoot th thead tr".split())
+RAW_TAGS = frozenset("canvas embed iframe noscript object script select style svg template textarea title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-DROPPED_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
-# fixed values: frequent function words of English, German, French and Spanish
-STOP_WORDS = frozenset("the of and to in that is was he for it with as his on be at by had not are but from or have an they which you were her all she there would their we him been has when who will more no if out so what up said its about than into them can only other new some could time these two may then do a this any my now such like our over me even most made after also did many "
-    "der die das und ist nicht ein eine einer eines einem einen zu den dem des von mit sich auf für im als auch es an er sie wir ihr ich aus bei nach wie um am sind noch nur oder aber vor zur zum bis mehr durch man wird wurde werden haben hat über wenn so dass daß war "
-    "le la les de des du un une et est que qui dans pour pas au aux par sur ce cette il elle ne se son sa ses avec plus ou on sont mais comme nous vous leur être été avoir tout fait deux même aussi bien sans en y "
-    "el los las del y en por para con no una su al lo como más pero sus ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo otro".split())
+#: an open tag of the first kind ends where one of the second begins, within the innermost container of the third
+IMPLIED_ENDS = [("li", "li", "ul ol menu"), ("dd dt", "dd dt", "dl"), ("option", "option optgroup", "select"), ("td th", "td th tr tbody thead tfoot", "table"), ("tr", "tr tbody thead tfoot", "table"), ("thead tbody tfoot", "tbody thead tfoot", "table")]
+FIRM_TAGS = frozenset("aside button dialog footer head menu nav search".split())
+FIRM_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: names of containers, and words that may follow them in a name
+COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
+WEAK_NAMES = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+TRAILERS = frozenset("area bar block body bottom box button buttons container content form group icons inner item items left link links list main outer panel placement right row section slot thread top unit wrap wrapper".split())
+NOT_A_CONTAINER = frozenset("a b blockquote dd dt em figcaption figure font h1 h2 h3 h4 h5 h6 i li p pre small span strong td th tr u".split())
+NEGATIONS = frozenset("has hide is no non not with without".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*)>?""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_WORD = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 TEXT, BOILER, UNSURE = 1, -1, 0
-LEAST_WORDS, LEAST_STOPS, MOST_LINKED = 10, 0.15, 0.5
+LEAST_WORDS, STOP_LETTERS, LEAST_STOPS, MOST_LINKED, FEW_LINKED = 10, 3, 0.15, 0.5, 0.33
+FIRM, WEAK = 1, 2
 
 
 class Block:
-    __slots__ = ("text", "linked", "area", "dropped", "label")
+    """Text of a block, how many of its characters are linked, the marked containers and the article around it."""
+
+    __slots__ = ("text", "linked", "firm", "weak", "area", "label")
+
+    def __init__(self, text: str, linked: int, firm: int, weak: int, area: Area | None):
+        self.text, self.linked, self.firm, self.weak, self.area, self.label = text, linked, firm, weak, area, UNSURE
+
+
+class Area:
+    """An article or main part: the marked containers around it."""
+
+    __slots__ = ("firm", "weak")
+
+    def __init__(self, firm: int, weak: int):
+        self.firm, self.weak = firm, weak
+
+
+def mark_of_name(name: str, tag: str) -> int:
+    """What a single name of a class or id says: a comment container is firm, one of the other kinds weak, else 0.
+
+    A name is a container's if its last word is one (site-footer) or its first, followed by words for places and shapes only
+    (sidebar-left); on paragraphs, figures, list items and the like only a name of that one word counts."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    if not words or words[0] in NEGATIONS:
+        return 0
+    if tag in NOT_A_CONTAINER and len(words) > 1:
+        return 0
+    for names, mark in ((COMMENT_NAMES, FIRM), (WEAK_NAMES, WEAK)):
+        if words[-1] in names or (words[0] in names and all(w in TRAILERS or w in names or w.isdigit() for w in words[1:])):
+            return mark
+    return 0
+
+
+def _mark(tag: str, attributes: str, in_area: bool) -> int:
+    if tag in FIRM_TAGS or (tag == "header" and not in_area):
+        return FIRM
+    out = WEAK if tag == "form" else 0
+    if "=" in attributes and tag not in ("html", "body"):
+        for name, a, b, c in _ATTR.findall(attributes):
+            name, value = name.lower(), a or b or c
+            if name == "role" and value.strip().lower() in FIRM_ROLES:
+                return FIRM
+            if name in ("class", "id"):
+                for word in value.split():
+                    got = mark_of_name(word, tag)
+                    if got == FIRM or (got == WEAK and tag not in ("article", "main")):
+                        out = got if got == FIRM else out or got
+                if out == FIRM:
+                    return FIRM
+    return out
+
+
+class _Open:
+    """An open element: its tag, the marked containers down to it, its article, and whether it only holds back inline text."""
 
-    def __init__(self, text: str, linked: int, area: int, dropped: bool):
-        self.text, self.linked, self.area, self.dropped, self.label = text, linked, area, dropped, UNSURE
+    __slots__ = ("tag", "firm", "weak", "area", "inline")
+
+    def __init__(self, tag: str, firm: int, weak: int, area: Area | None, inline: bool):
+        self.tag, self.firm, self.weak, self.area, self.inline = tag, firm, weak, area, inline
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks with text in page order; area is the number of the article or main part around it, 0 outside."""
+    """Blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, inside a dropped container, area
+    stack = [_Open("", 0, 0, None, False)]
+    depth: dict[str, list[int]] = defaultdict(list)  # places of each tag in the stack
     parts: list[str] = []
-    linked = areas = links = at = 0
+    linked, link, at = 0, False, 0
+    ends = {begin: [(old.split(), scope.split()) for old, new, scope in IMPLIED_ENDS if begin in new.split()] for _, new, _ in IMPLIED_ENDS for begin in new.split()}
+    raw_end: dict[str, re.Pattern] = {}
 
     def close() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, linked, stack[-1][2] if stack else 0, bool(stack) and stack[-1][1]))
+                top = stack[-1]
+                out.append(Block(text, linked, top.firm, top.weak, top.area))
         parts.clear()
         linked = 0
 
     def take(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not stack[-1].inline:
+            text = html.unescape(text)
             parts.append(text)
-            if links:
+            if link:
                 linked += len("".join(text.split()))
 
+    def last(tags: list[str]) -> int:
+        return max((depth[t][-1] for t in tags if depth[t]), default=0)
+
+    def pop_to(k: int) -> None:
+        if any(not e.inline for e in stack[k:]):
+            close()
+        while len(stack) > k:
+            depth[stack.pop().tag].pop()
+
     n = len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -88,96 +169,83 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "br":
             parts.append(" ")
-        if tag in BLOCK_TAGS:
-            close()
         if tag == "a":
-            links = 0 if m[1] else 1
+            link = not m[1]
+        block = tag in BLOCK_TAGS
+        if block:
+            close()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _, _ in stack[k + 1 :]):
-                        break
-                    if any(d for _, d, _ in stack[k:]) and not (stack[k - 1][1] if k else False):
-                        close()
-                    del stack[k:]
-                    break
+            k = last([tag])
+            # an end tag has no effect beyond the table cell, or for inline tags the block, it stands in
+            if k and k > (0 if tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") else last(["td", "th"])):
+                pop_to(k)
             continue
-        if tag in VOID_TAGS or m[0].endswith("/>"):
+        if tag in VOID_TAGS:
             continue
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            if not m[0].endswith("/>") or tag not in ("svg", "canvas", "embed", "object", "iframe"):
+                end = raw_end.setdefault(tag, re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I)).search(page, at)
+                at = end.end() if end else n
             continue
-        dropped, area = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if tag in ("article", "main") and not dropped:
-            areas += not (area and tag == "article")  # an article in the main part narrows nothing
-            area = area or areas
-        elif not dropped and tag not in ("html", "body"):
-            dropped = tag in DROPPED_TAGS or (tag == "header" and not area)
-            if not dropped and "=" in m[3]:
-                for name, a, b, c in _ATTR.findall(m[3]):
-                    name = name.lower()
-                    if name == "role":
-                        dropped = dropped or (a or b or c).strip().lower() in DROPPED_ROLES
-                    elif name in ("class", "id"):
-                        dropped = dropped or not DROPPED_WORDS.isdisjoint(_WORD.findall((a or b or c).lower()))
-                    elif name == "aria-hidden":
-                        dropped = dropped or (a or b or c).lower() == "true"
-                dropped = dropped or re.search(r"display\s*:\s*none", m[3]) is not None
-            if not dropped and "hidden" in m[3]:
-                dropped = "hidden" in re.sub(r"""=\s*("[^"]*"|'[^']*'|\S+)""", " ", m[3]).lower().split()
-            if dropped and tag not in BLOCK_TAGS:
-                close()
-        stack.append((tag, dropped, area))
+        if tag in CLOSE_P and depth["p"] and depth["p"][-1] > last(["td", "th"]):
+            pop_to(depth["p"][-1])
+        for old, scope in ends.get(tag, ()):
+            if (k := last(old)) > last(scope):
+                pop_to(k)
+        top = stack[-1]
+        mark = _mark(tag, m[3], top.area is not None)
+        if not block and not mark and not top.inline:
+            continue
+        area = top.area
+        if tag in ("article", "main") and mark != FIRM and area is None:
+            area = Area(top.firm, top.weak)
+        depth[tag].append(len(stack))
+        stack.append(_Open(tag, top.firm + (mark == FIRM), top.weak + (mark == WEAK), area, not block))
     close()
     return out
 
 
 def first_pass(b: Block) -> int:
-    if b.dropped:
-        return BOILER
-    solid = len("".join(b.text.split()))
-    density = b.linked / max(1, solid)
+    """Label by link density, length and stop-word density.  Within an article links make nothing boilerplate."""
+    density = b.linked / max(1, len("".join(b.text.split())))
     if density > MOST_LINKED:
-        return UNSURE if b.area and density < 0.9 else BOILER
-    words = _LETTERS.findall(b.text.lower())
-    if len(words) >= LEAST_WORDS and sum(w in STOP_WORDS for w in words) >= LEAST_STOPS * len(words):
+        return UNSURE if b.area else BOILER
+    words = _LETTERS.findall(b.text)
+    if len(words) >= LEAST_WORDS and density <= FEW_LINKED and sum(len(w) <= STOP_LETTERS for w in words) >= LEAST_STOPS * len(words):
         return TEXT
     return UNSURE
 
 
-def second_pass(found: list[Block]) -> None:
-    """Gives ambiguous blocks the label of their nearest decided neighbours in the same area."""
-    inside = sum(len(b.text) for b in found if b.area and not b.dropped)
-    outside = sum(len(b.text) for b in found if not b.area and b.label == TEXT)
-    if inside and inside >= outside:  # the page marks its article: nothing outside is part of it
-        for b in found:
-            if not b.area:
-                b.label = BOILER
+def second_pass(found: list[Block]) -> list[bool]:
+    """Which blocks are text: ambiguous ones inherit from the nearest decided one; without any, they are text."""
     n = len(found)
-    before: list[int | None] = [None] * n
-    after: list[int | None] = [None] * n
-    for side, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
-        last: dict[int, int] = {}
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for order in (range(n), range(n - 1, -1, -1)):
+        last: int | None = None
         for i in order:
-            side[i] = last.get(found[i].area)
-            if found[i].label != UNSURE and not found[i].dropped:
-                last[found[i].area] = found[i].label
-    for i, b in enumerate(found):
-        if b.label == UNSURE:
-            near = {x for x in (before[i], after[i]) if x is not None}
-            if b.area:  # boilerplate beside it inside an article takes no plain block along
-                b.label = TEXT
-            else:
-                b.label = near.pop() if len(near) == 1 else BOILER if near else TEXT
+            if found[i].label != UNSURE:
+                last = i
+            elif last is not None:
+                near[i].append((abs(i - last), -found[last].label))
+    return [b.label == TEXT or (b.label == UNSURE and (not near[i] or -min(near[i])[1] == TEXT)) for i, b in enumerate(found)]
+
+
+def candidates(found: list[Block]) -> Iterator[list[Block]]:
+    """Sets of blocks that may hold the main text, the best marked first."""
+    inside = [b for b in found if b.area and b.firm == b.area.firm and b.weak == b.area.weak]
+    yield [b for b in inside if b.area.firm == b.area.weak == 0]
+    yield [b for b in found if b.firm == b.weak == 0]
+    yield [b for b in inside if b.area.firm == 0]
+    yield [b for b in found if b.firm == 0 and b.weak <= 1]
 
 
 def extract(page: str) -> str:
     found = blocks(page)
     for b in found:
         b.label = first_pass(b)
-    second_pass(found)
-    return "\n".join(b.text for b in found if b.label == TEXT)
+    sets = list(candidates(found))
+    main = next((s for s in sets if any(b.label == TEXT for b in s)), None) or next((s for s in sets if s), [])
+    return "\n".join(b.text for b, keep in zip(main, second_pass(main), strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
