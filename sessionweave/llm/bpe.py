@@ -3,8 +3,11 @@
 Words lie in flat numpy arrays of symbols.  In each round the least pair rank of every word is found by a segmented
 minimum, the leftmost pair with that rank is merged in all words simultaneously, and the arrays are compacted; words in
 which no pair remains leave the arrays.  A round costs time in proportion to the symbols that are still there, and only
-the pairs beside a merge are looked up again.  A word of more than LONG symbols would need as many rounds by itself, so
-such words take the same steps from a heap, one by one.
+the pairs beside a merge are looked up again.
+
+A word of more than LONG symbols would take as many rounds by itself as it has merges.  There a round merges all places of the least
+pair from left to right, found from lists of places by rank, so rounds are as many as different pairs and each costs what
+it merges.  Where a merge makes a pair of a lesser rank, that round merges the leftmost place only, as the order demands.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import heapq
 import numpy as np
 
 NONE = np.iinfo(np.int64).max
-LONG = 256
+LONG = 1000
 
 
 class PairTable:
@@ -31,35 +34,55 @@ class PairTable:
         return np.where(self.key[at] == key, self.rank[at], NONE), self.merged[at]
 
 
-def _by_heap(sym: list[int], table: PairTable) -> list[int]:
-    s = np.array(sym, np.int64)
-    rank, to = table(s[:-1], s[1:])
-    heap = [(int(r), i, int(sym[i]), int(sym[i + 1]), int(t)) for i, (r, t) in enumerate(zip(rank, to, strict=True)) if r < NONE]
-    heapq.heapify(heap)
-    out = list(sym)
-    before, after = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
-    known: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def push(i: int, j: int) -> None:
-        pair = (out[i], out[j])
-        if pair not in known:
-            r, t = table(np.array([pair[0]], np.int64), np.array([pair[1]], np.int64))
-            known[pair] = (int(r[0]), int(t[0]))
-        if known[pair][0] < NONE:
-            heapq.heappush(heap, (known[pair][0], i, *pair, known[pair][1]))
-
-    while heap:
-        _, i, a, b, t = heapq.heappop(heap)
-        j = after[i]
-        if out[i] != a or j < 0 or out[j] != b:
+def _long_word(word: np.ndarray, table: PairTable) -> np.ndarray:
+    """Symbols of one long word when no pair remains."""
+    n = len(word)
+    sym = np.append(word.astype(np.int64), -1)  # place n is the end
+    after, before = np.minimum(np.arange(1, n + 2), n), np.arange(-1, n)
+    rank, to = np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
+    ranks: list[int] = []
+    places: dict[int, list[np.ndarray]] = {}
+
+    def look_up(at: np.ndarray) -> None:
+        rank[at] = NONE
+        at = at[after[at] < n]
+        rank[at], to[at] = table(sym[at], sym[after[at]])
+        at = at[rank[at] < NONE]
+        at = at[np.argsort(rank[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[at])) + 1
+        for some in np.split(at, cuts) if len(at) else ():
+            r = int(rank[some[0]])
+            if r not in places:
+                places[r] = []
+                heapq.heappush(ranks, r)
+            places[r].append(some)
+
+    look_up(np.arange(n))
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(places.pop(r)))
+        at = at[rank[at] == r]
+        if not len(at):
             continue
-        out[i], out[j], after[i] = t, -1, after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-            push(i, after[j])
-        if before[i] >= 0:
-            push(before[i], i)
-    return [x for x in out if x >= 0]
+        first = np.concatenate([[True], after[at[:-1]] != at[1:]])  # in a row of one symbol every second place merges
+        place = np.arange(len(at))
+        at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
+        new = np.full(len(at), to[at[0]])
+        left, right = before[at], after[after[at]]
+        inner, outer = left >= 0, right < n
+        made = [table(sym[left[inner]], new[inner])[0], table(new[outer], sym[right[outer]])[0], table(new[:1], new[:1])[0]]
+        if len(at) > 1 and any((m < r).any() for m in made):
+            places[r] = [at[1:]]
+            heapq.heappush(ranks, r)
+            at, new = at[:1], new[:1]
+        gone = after[at]
+        sym[at], rank[gone] = new, NONE
+        after[at] = after[gone]
+        before[after[at]] = at
+        sym[gone] = -1
+        left = before[at]
+        look_up(np.unique(np.concatenate([at, left[left >= 0]])))
+    return sym[:n][sym[:n] >= 0]
 
 
 def merge_words(sym: np.ndarray, word: np.ndarray, table: PairTable, block: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +109,8 @@ def _merge_block(sym: np.ndarray, word: np.ndarray, table: PairTable) -> tuple[n
         long = size[word] > LONG
         for w in np.flatnonzero(size > LONG):
             a, b = np.searchsorted(word, [w, w + 1])
-            got = _by_heap(sym[a:b].tolist(), table)
-            done_sym.append(np.array(got, np.int64))
+            got = _long_word(sym[a:b], table)
+            done_sym.append(got)
             done_word.append(np.full(len(got), w, np.int64))
         sym, word = sym[~long], word[~long]
     rank, to = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)

@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filters are unit vectors of a random product code: the space is cut into two blocks of coordinates, each with a random
-orthonormal basis and its negatives as code, and a filter is a pair of code words.  A vector's products with all filters are
-sums of one number from each block, so the filters that exceed a threshold are list-decoded block by block.
+Filters are unit vectors of a random product code: the space is cut into blocks of coordinates, each with random
+orthonormal bases and their negatives as code, and a filter is a code word for each block.  A vector's products with all filters are
+sums of one number from each block, so the filters that exceed a threshold are list-decoded block by block.  The code has the more
+words, and a filter's cap is the smaller, the more vectors the largest label holds (CODES), so the vectors that a query
+meets stay about as many while the table grows.
 
 Every vector queries one filter only, its best of the first table whose best product reaches START, so each ordered pair meets
 at most once and links can be counted without making pairs.  Every vector is stored under all filters whose product is at
@@ -17,58 +19,71 @@ two blocks are a task's work.  Tasks return link counts and a spanning forest of
 
 Defined results: vectors are compared only when labels are equal and not null and lengths are equal; null or empty vectors, zero
 vectors and vectors with null or non-finite components link with nothing; each row, repeated ones too, is a vector of its own;
-a null vec_id is no component's name unless the component holds no other; an empty table gives no rows.
+a null vec_id is no component's name unless the component holds no other; an empty table gives no rows; other columns, whatever
+their names, are ignored.  Vectors are scaled by a power of two first, so neither very small nor very large components lose a link.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtools import lean, small_batches
 from .common import Scratch, connected_components, table
 
-THRESHOLD, TABLES, BASES, BLOCK, SERVED, SIGMAS = 0.98, 6, 1, 1024, 0.9, 5.0
+THRESHOLD, TABLES, BLOCK, SERVED, SIGMAS = 0.98, 6, 1024, 0.9, 5.0
+#: (vectors of the largest label, blocks, bases a block): from each number of vectors on, the code in use.  Of 64 components
+#: a vector's cap of queries' filters then holds 0.027, 0.0053, 0.0009 and 0.00017 of all other vectors
+CODES = ((0, 2, 1), (1_200, 2, 4), (6_000, 2, 16), (36_000, 3, 8))
+SLOTS = 1 << 25  # bits of the map of filters in use
 
 
 class Code:
     """Product code for vectors of dim components: per table and block random orthonormal bases with their negatives."""
 
-    def __init__(self, dim: int, tables: int = TABLES, seed: int = 5):
-        rng = np.random.default_rng([seed, dim])
-        cut = (dim + 1) // 2
-        self.cut, self.tables, self.dim, self.words = cut, [], dim, (2 * BASES * cut, 2 * BASES * (dim - cut) or 1)
+    def __init__(self, dim: int, blocks: int = 2, bases: int = 1, tables: int = TABLES, seed: int = 5):
+        rng = np.random.default_rng([seed, dim, blocks, bases])
+        self.cuts = np.linspace(0, dim, min(blocks, dim) + 1).round().astype(int)
+        self.dim, self.tables = dim, []
         for _ in range(tables):
-            pair = []
-            for d in (cut, dim - cut):
-                qs = [np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(BASES)] if d else []
-                pair.append(np.concatenate([x for q in qs for x in (q, -q)]) if d else np.zeros((1, 0)))
-            self.tables.append(pair)
+            qs = [[np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(bases)] for d in np.diff(self.cuts)]
+            self.tables.append([np.concatenate([x for q in one for x in (q, -q)]) for one in qs])
+        self.words = [len(c) for c in self.tables[0]]
         sample = rng.standard_normal((2000, dim))
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         #: what the best filter of a table reaches for most directions; from random directions, not from the data
         self.start = float(np.quantile(self.best(sample, 0)[1], 1 - SERVED))
 
-    def parts(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.tables[t]
-        return unit[:, : self.cut] @ a.T / math.sqrt(2), unit[:, self.cut :] @ b.T / math.sqrt(2)
+    def parts(self, unit: np.ndarray, t: int) -> list[np.ndarray]:
+        return [unit[:, a:b] @ c.T / math.sqrt(len(self.words)) for a, b, c in zip(self.cuts[:-1], self.cuts[1:], self.tables[t], strict=True)]
 
     def best(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Best filter of table t and its product, for each vector."""
-        a, b = self.parts(unit, t)
-        return a.argmax(axis=1) * self.words[1] + b.argmax(axis=1), a.max(axis=1) + b.max(axis=1)
+        f, s = np.zeros(len(unit), np.int64), np.zeros(len(unit))
+        for part in self.parts(unit, t):
+            f, s = f * part.shape[1] + part.argmax(axis=1), s + part.max(axis=1)
+        return f, s
 
     def decode(self, unit: np.ndarray, t: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(vector, filter) for all filters of table t with a product of at least least."""
-        a, b = self.parts(unit, t)
-        row, i = np.nonzero(a >= least - b.max(axis=1, keepdims=True))
-        hit, j = np.nonzero(b[row] >= (least - a[row, i])[:, None])
-        return row[hit], i[hit] * self.words[1] + j
+        some = max(1, 8_000_000 // max(self.words) ** 2)
+        if len(unit) > some:  # what is compared at once stays small
+            got = [(k, *self.decode(unit[k : k + some], t, least)) for k in range(0, len(unit), some)]
+            return np.concatenate([r + k for k, r, _ in got]), np.concatenate([f for _, _, f in got])
+        parts = self.parts(unit, t)
+        row, f, s = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
+        for k, part in enumerate(parts):
+            rest = sum((p.max(axis=1) for p in parts[k + 1 :]), np.zeros(len(unit)))
+            hit, j = np.nonzero(part[row] >= (least - rest[row] - s)[:, None])
+            row, f, s = row[hit], f[hit] * part.shape[1] + j, s[hit] + part[row[hit], j]
+        return row, f
 
 
 def reach(start: float, dim: int, threshold: float) -> float:
@@ -77,22 +92,35 @@ def reach(start: float, dim: int, threshold: float) -> float:
     return start * threshold - spread * min(1.0, SIGMAS / math.sqrt(max(1, dim - 1))) - 1e-9
 
 
-_CODES: dict[int, Code] = {}
+@functools.lru_cache(64)
+def code_for(dim: int, vectors: int = 0) -> Code:
+    """The code for labels of at most so many vectors."""
+    _, blocks, bases = [c for c in CODES if c[0] <= vectors][-1]
+    return Code(dim, blocks, bases)
 
 
-def code_for(dim: int) -> Code:
-    if dim not in _CODES:
-        _CODES[dim] = Code(dim)
-    return _CODES[dim]
+def _slots(label: pa.Array, dim: int, t: int, f: np.ndarray) -> np.ndarray:
+    """Place of (label, length, table, filter) in the map of filters in use."""
+    from xxhash import xxh3_64_intdigest
+
+    coded = pc.dictionary_encode(label)
+    h = np.array([xxh3_64_intdigest(repr((x, dim, t)).encode()) for x in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy(zero_copy_only=False)] if len(label) else np.zeros(0, np.uint64)
+    h = (h ^ f.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(32)).astype(np.int64) & (SLOTS - 1)
 
 
 def _vectors(col: pa.Array, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(v, kind).astype(np.float64) for v in col.to_pylist()]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is between one half and one; cosines stay."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _units(vectors: list[np.ndarray]) -> np.ndarray:
-    x = np.stack(vectors)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(np.stack(vectors))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -131,7 +159,7 @@ def _checked(vectors: DataFrame, width: str) -> DataFrame:
     return vectors.select("vec_id", "label", "embedding").mapInArrow(lean(run), f"vec_id {kind}, label {label}, fp binary, vec binary")
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, code_size: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -142,37 +170,44 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: in
     reps = rows.where("fp is not null").groupBy("fp").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("id"))
     reps = scratch.keep(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
 
+    most = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 if code_size is None else code_size
+
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims, tab, best = (np.zeros(b.num_rows, np.int64) for _ in range(3))
+            dims, tab, best, slot = (np.zeros(b.num_rows, np.int64) for _ in range(4))
             for dim, some, unit in _by_length(b, width):
-                code = code_for(dim)
+                code = code_for(dim, most)
                 dims[some], tab[some] = dim, -1
                 for t in range(len(code.tables)):
                     f, s = code.best(unit, t)
                     take = (tab[some] < 0) & (s >= code.start)
                     tab[some[take]], best[some[take]] = t, f[take]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("label"), pa.array(dims, pa.int32()), pa.array(tab, pa.int32()), pa.array(best)], ["rid", "label", "dim", "t", "f"])
-
-    asked = scratch.keep(reps.select("rid", "label", "vec").mapInArrow(lean(queries), f"rid long, label {label}, dim int, t int, f long"), "asked")
-    # tables in use and their filters in use: at most TABLES x filters rows for each length of vectors
-    used: dict[tuple[int, int], np.ndarray] = {}
-    for r in asked.where("t >= 0").groupBy("dim", "t").agg(F.collect_set("f").alias("fs")).collect():
-        used[r["dim"], r["t"]] = np.array(sorted(r["fs"]), np.int64)
-    shared = spark.sparkContext.broadcast(used)
+                    slot[some[take]] = _slots(b.column("label").take(pa.array(some[take])), dim, t, f[take])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("label"), pa.array(dims, pa.int32()), pa.array(tab, pa.int32()), pa.array(best), pa.array(slot)], ["rid", "label", "dim", "t", "f", "slot"])
+
+    asked = scratch.keep(reps.select("rid", "label", "vec").mapInArrow(lean(queries), f"rid long, label {label}, dim int, t int, f long, slot long"), "asked")
+    # a map of fixed size of the filters in use, at most SLOTS / 64 rows; a place that two share only stores a row too many
+    in_use = np.zeros(SLOTS // 64, np.uint64)
+    for r in asked.where("t >= 0").groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toLocalIterator():
+        in_use[r["w"]] = r["bits"] & (2**64 - 1)
+    in_tables = sorted({(r["dim"], r["t"]) for r in asked.where("t >= 0").select("dim", "t").distinct().collect()})  # TABLES for each length of vectors
+    shared = spark.sparkContext.broadcast((in_use, in_tables))
+    asked = asked.drop("slot")
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tables = shared.value
         for b in batches:
             for dim, some, unit in _by_length(b, width):
-                code = code_for(dim)
-                for (d, t), fs in shared.value.items():
-                    if d != dim:
-                        continue
-                    row, f = code.decode(unit, t, reach(code.start, code.dim, threshold))
-                    in_use = fs[np.minimum(np.searchsorted(fs, f), len(fs) - 1)] == f
-                    row, f = row[in_use], f[in_use]
-                    at = pa.array(some[row])
-                    yield pa.RecordBatch.from_arrays([b.column("rid").take(at), b.column("label").take(at), pa.array(np.full(len(f), dim), pa.int32()), pa.array(np.full(len(f), t), pa.int32()), pa.array(f)], ["rid", "label", "dim", "t", "f"])
+                code = code_for(dim, most)
+                for t in (t for d, t in tables if d == dim):
+                    for k in range(0, len(some), 250):
+                        row, f = code.decode(unit[k : k + 250], t, reach(code.start, code.dim, threshold))
+                        at = pa.array(some[row + k])
+                        own = b.column("label").take(at)
+                        slot = _slots(own, dim, t, f)
+                        keep = (held[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+                        at, own, f = at.filter(pa.array(keep)), own.filter(pa.array(keep)), f[keep]
+                        yield pa.RecordBatch.from_arrays([b.column("rid").take(at), own, pa.array(np.full(len(f), dim), pa.int32()), pa.array(np.full(len(f), t), pa.int32()), pa.array(f)], ["rid", "label", "dim", "t", "f"])
 
     key = ["label", "dim", "t", "f"]
     kept = reps.select("rid", "label", "vec").mapInArrow(lean(stored), f"rid long, label {label}, dim int, t int, f long")
@@ -213,10 +248,7 @@ def _links(threshold: float, keys: tuple[str, ...], width: str):
         if not q or not s:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["rid", "root", "links"])
         rq, rs = np.array([x[1] for x in q]), np.array([x[1] for x in s])
-        xq, xs = (np.stack([np.frombuffer(x[3], width).astype(np.float64) for x in side]) for side in (q, s))
-        big = max(np.abs(xq).max(), np.abs(xs).max())
-        if big > 1e100 or big < 1e-100:
-            xq, xs = xq / np.abs(xq).max(axis=1, keepdims=True), xs / np.abs(xs).max(axis=1, keepdims=True)
+        xq, xs = (_scaled(np.stack([np.frombuffer(x[3], width).astype(np.float64) for x in side])) for side in (q, s))
         mask = xq @ xs.T / (np.linalg.norm(xq, axis=1)[:, None] * np.linalg.norm(xs, axis=1)[None, :]) >= threshold
         mask &= rq[:, None] != rs[None, :]
         links = mask @ np.array([x[2] for x in s], np.int64)

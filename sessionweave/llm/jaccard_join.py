@@ -1,6 +1,7 @@
 """N-gram Jaccard join of texts by MinHash banding.
 
-Texts become sets of word 5-grams.  Texts with equal sets are collapsed (told by a 128-bit hash of the whole set) and one
+Texts become sets of word 5-grams, each told by 52 bits of hash: two different n-grams of a pair of texts are taken for one with
+a chance of 2e-16 each.  Texts with equal sets are collapsed (told by a 128-bit hash of the whole set) and one
 stands for all.  Representatives get BANDS x ROWS MinHash values, numbers chosen for the target recall at the threshold, and
 are shuffled on band hashes; a bucket gives star edges to its least member, not pairs, and connected buckets form candidate
 groups.  Each group's full sets then meet once, and all pairs of the group are verified on them.  A group of more than
@@ -113,16 +114,13 @@ def _sets(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk")).mapInArrow(lean(run), f"doc_id {kind}, dk long, fp binary, bands array<long>")
 
 
-_MEMBER = "grp long, part long, side int, rid long, id {k}, n long, grams array<long>"
-
-
-def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, group: int = GROUP) -> DataFrame:
+def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, dk, class_id, n_links, kept."""
     from .shingles import bands_for
 
     spark = docs.sparkSession
     small_batches(spark)
-    scratch = Scratch(spark, "jaccard")
+    scratch = scratch or Scratch(spark, "jaccard")
     kind = docs.schema["doc_id"].dataType.simpleString()
     bands, rows = bands_for(threshold, recall)
     found = scratch.keep(_sets(docs, n, bands, rows), "sets")
@@ -260,11 +258,11 @@ def _block_pairs(threshold: float):
     return run
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
+def near_dedup(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
     """The rows of docs that stand for their class, with all their columns."""
-    groups = jaccard_groups(docs, **options)
-    scratch = Scratch(docs.sparkSession, "near")
-    groups = scratch.keep(groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("dk").alias("__dk")), "kept")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
+    groups = jaccard_groups(docs, scratch=scratch, **options)
+    groups = scratch.keep(groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("dk").alias("__dk")), "standing")
     again = groups.groupBy("__id", "__dk").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__id", "__dk")
     keyed = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
     same = (F.col("__k") == F.col("__dk")) & F.col("doc_id").eqNullSafe(F.col("__id"))

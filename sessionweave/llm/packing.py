@@ -112,16 +112,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, e
 def pack(pieces: DataFrame, seq_len: int = SEQ_LEN, scratch: Scratch | None = None, rows_a_bucket: int = 50_000) -> DataFrame:
     """The pieces with sequence_id and offset."""
     scratch = scratch or Scratch(pieces.sparkSession, "packing")
-    pieces = scratch.keep(pieces, "pieces")
+    pieces = scratch.keep(pieces.withColumn("__r", F.monotonically_increasing_id()), "pieces")
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most seq_len rows
     where = slots(histogram_patterns(hist, seq_len))
     buckets = max(64, sum(hist.values()) // rows_a_bucket)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("__r"), F.lit(buckets)))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("__r")) - 1
     ranked = salted.withColumn("within", within).join(before, ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("within")).drop("salt", "within", "before")
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("within")).drop("salt", "within", "before", "__r")
     step = 1 << 44
     keys = where[:, 0] * step + where[:, 1]
 
@@ -138,8 +138,8 @@ def pack(pieces: DataFrame, seq_len: int = SEQ_LEN, scratch: Scratch | None = No
     return ranked.mapInArrow(lean(look_up), f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    return pack(token_pieces(docs, tokenizer_path, seq_len, end_id, with_ids), seq_len)
+def pack_documents(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, with_ids: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    return pack(token_pieces(docs, tokenizer_path, seq_len, end_id, with_ids), seq_len, scratch)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

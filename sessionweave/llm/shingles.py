@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from .word_tokens import _Seen
 
 _U = np.uint64
+MOST_TEXTS = 4096  # whose numbers fit above the 52 bits of a hash; more are taken in turn
 
 
 def bands_for(similarity: float, recall: float, most: int = 256, rows: int | None = None) -> tuple[int, int]:
@@ -36,6 +37,10 @@ class Shingler:
         """Distinct shingle hashes of all texts one after another, each text's in order, and where each begins (with the end)."""
         from xxhash import xxh3_64_intdigest
 
+        if len(texts) > MOST_TEXTS:
+            parts = [self.sets(texts.slice(k, MOST_TEXTS)) for k in range(0, len(texts), MOST_TEXTS)]
+            base = np.cumsum([0, *(len(h) for h, _ in parts)])
+            return np.concatenate([h for h, _ in parts]), np.concatenate([[0], *(c[1:] + b for (_, c), b in zip(parts, base, strict=False))])
         if len(self.seen) > self.most:
             self._clear()
         words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))))
@@ -60,8 +65,6 @@ class Shingler:
         h ^= h >> _U(31)
         h *= _U(0xBF58476D1CE4E5B9)
         h ^= h >> _U(29)
-        if len(size) > 4096:
-            raise ValueError("at most 4096 texts at a time")
         # the text's number above 52 bits of the hash: one plain sort orders every set
         both = np.sort(owner.astype(_U) << _U(52) | h >> _U(12))
         new = np.ones(len(both), bool)

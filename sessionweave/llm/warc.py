@@ -1,10 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by id: exact counts of at most BUCKETS id ranges give the shard bounds, so the same table always
-makes the same shards.  Each task sorts its shards and writes gzip members, rolling to a new file when the compressed size
+Records are range-sorted by id: a shard holds the records whose bytes begin within one stretch of the running total over all
+records in the order of their ids, so the same table always makes the same shards, whatever its ids are.  Ids are
+integers.  Each task sorts its shards and writes gzip members, rolling to a new file when the compressed size
 passes a limit; headers, record ids and digests are made anew from the payload.  A file is written under a temporary name
 and moved to its final one when complete; the manifest table, written last, is the commit: readers open only files in it.
-A task that runs again writes the same bytes to the same names.
+A task that runs again writes the same bytes to the same names.  The first ids of the shards are broadcast: SHARDS at most, beyond
+which shards grow with the table; files keep their size.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, the one with the largest id is a response, the others
 revisits of it.  Equality is SHA-1, SHA-256 and length.  The payload moves once: revisit marks (id, digest, target) are
@@ -12,7 +14,8 @@ sorted into the same ranges just before their records.
 
 Defined results: a null payload counts as empty; a null url becomes ``about:blank``; of rows repeated with the same id and
 payload the first is the response and the others revisit that id; a null id sorts first, and is a revisit's target only
-if every id of that payload is null; an empty table makes an empty manifest and reads back as no rows.
+if every id of that payload is null; an empty table makes an empty manifest and reads back as no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrowtools import lean, slices, small_batches
 from .common import Scratch, table
 
-MIN_REVISIT, FILE_BYTES, SHARD_BYTES, BUCKETS = 1000, 64_000_000, 32_000_000, 4096
+MIN_REVISIT, FILE_BYTES, SHARD_BYTES, SHARDS = 1000, 64_000_000, 32_000_000, 100_000
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -93,21 +98,21 @@ class _File:
         return self.name, self.records, self.size, self.sha.hexdigest()
 
 
-def _shards(sizes: DataFrame, shard_bytes: int):
-    """Column expression for the shard of page_id, and the number of shards; at most BUCKETS + 1 rows come to the driver."""
-    lo, hi, n = sizes.agg(F.min("page_id"), F.max("page_id"), F.count(F.lit(1))).first()
-    if lo is None:
-        return F.lit(0), 1
-    width = (int(hi) - int(lo)) // BUCKETS + 1
-    bucket = F.coalesce(F.floor((F.col("page_id").cast("decimal(38,0)") - F.lit(int(lo)).cast("decimal(38,0)")) / F.lit(width)), F.lit(0)).cast("int")
-    per = {r["b"]: r["n"] for r in sizes.groupBy(bucket.alias("b")).agg(F.sum("payload_bytes").alias("n")).collect()}
-    of, shard, full = [], 0, 0
-    for b in range(BUCKETS):
-        if full and full + per.get(b, 0) > shard_bytes:
-            shard, full = shard + 1, 0
-        full += per.get(b, 0)
-        of.append(shard)
-    return F.element_at(F.lit(of), bucket + 1), shard + 1
+def _shard_starts(sizes: DataFrame, shard_bytes: int, scratch: Scratch) -> np.ndarray:
+    """First id of each shard but the first: at most SHARDS numbers, from running totals over all records in order."""
+    per_id = sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("payload_bytes").alias("n"))
+    ranged = scratch.keep(per_id.repartitionByRange("page_id").withColumn("p", F.spark_partition_id()), "ranged")
+    totals = sorted(map(tuple, ranged.groupBy("p").agg(F.sum("n")).collect()))  # one row a partition
+    total = sum(n for _, n in totals)
+    size = max(shard_bytes, total // SHARDS + 1)
+    if total <= size:
+        return np.zeros(0, np.int64)
+    before = np.cumsum([0, *(n for _, n in totals)])
+    bases = F.broadcast(sizes.sparkSession.createDataFrame([(p, int(b)) for (p, _), b in zip(totals, before, strict=False)], "p int, base long"))
+    running = F.sum("n").over(Window.partitionBy("p").orderBy("page_id")) - F.col("n")
+    shard = ranged.withColumn("at", running).join(bases, "p").select("page_id", F.floor((F.col("base") + F.col("at")) / F.lit(size)).alias("shard"))
+    starts = [r["first"] for r in shard.groupBy("shard").agg(F.min("page_id").alias("first")).orderBy("first").collect()]
+    return np.array(starts[1:], np.int64)
 
 
 def write_warc(pages: DataFrame, uri: str, scratch: Scratch, min_revisit: int = MIN_REVISIT, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -118,11 +123,20 @@ def write_warc(pages: DataFrame, uri: str, scratch: Scratch, min_revisit: int =
     same = ["sha1", "sha256", "payload_bytes"]
     groups = sizes.where(F.col("payload_bytes") >= min_revisit).groupBy(*same).agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1")
     marks = sizes.join(groups, same).where("not (page_id <=> target)").select("page_id", "sha1", "target").distinct()
-    shard, n = _shards(sizes, shard_bytes)
+    starts = _shard_starts(sizes, shard_bytes, scratch)
+    shared = pages.sparkSession.sparkContext.broadcast(starts)
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", F.lit(1).alias("k"), "url", F.col("html"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast(kind).alias("target"))
     rows = rows.unionByName(marks.select("page_id", F.lit(0).alias("k"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha1", "target"))
-    rows = rows.withColumn("shard", shard).repartitionByRange(n, "shard").sortWithinPartitions("shard", "page_id", "k", "url", "html")
+
+    def add_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pc.fill_null(b.column("page_id").cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            shard = np.searchsorted(shared.value, ids, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], [*b.schema.names, "shard"])
+
+    rows = rows.mapInArrow(lean(add_shard), f"page_id {kind}, k int, url string, html string, sha1 string, target {kind}, shard int")
+    rows = rows.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "k", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done, at, part, now, marked, written = None, [], None, 0, (None,), {}, set()
@@ -208,7 +222,9 @@ def read_warc(manifest: DataFrame, uri: str, with_payload: bool = False) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return manifest.repartitionByRange("file").mapInArrow(lean(run), schema)
+    # a fixed number of tasks, as a few rows of names would be put into one
+    tasks = max(1, min(manifest.count(), 4 * max(manifest.sparkSession.sparkContext.defaultParallelism, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    return manifest.repartitionByRange(tasks, "file").mapInArrow(lean(run), schema)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

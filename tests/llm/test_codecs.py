@@ -23,6 +23,12 @@ def words(seed: int, n: int = 400) -> list[str]:
     return [" ".join("".join(r.choice("abcdeéßtihn'.,1") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(0, 30))) for _ in range(n)] + ODD
 
 
+def long_words(seed: int) -> list[str]:
+    """Words beyond the size up to which words are merged together: runs, periods, and text without a space."""
+    r = random.Random(seed)
+    return ["a" * 3001, "ab" * 1500 + "a", "aab" * 900, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5000)), "".join(r.choice("theandofinto") for _ in range(4000)), "".join(r.choice("ßéab") for _ in range(2500))]
+
+
 def split(flat, cut):
     return [flat[cut[k] : cut[k + 1]].tolist() for k in range(len(cut) - 1)]
 
@@ -33,9 +39,10 @@ def test_word_tokens_equal_the_library():
     from sessionweave.llm.word_tokens import WordTokenizer
 
     path = tokenizers.path("word_bpe_49k.json")
-    texts = words(1)
+    texts = words(1) + long_words(4)
     tok = WordTokenizer(path)
-    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    lib = Tokenizer.from_file(path)
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
     for _ in range(2):  # new chunks, then kept ones
         assert split(*tok.encode(pa.array(texts, pa.string()))) == want
     assert tok.known
@@ -47,7 +54,7 @@ def test_sentencepiece_equals_the_library():
     from sessionweave.llm.sentencepieces import Pieces
 
     path = tokenizers.path("piece_bpe_32k.model")
-    lib, own, texts = sentencepiece.SentencePieceProcessor(model_file=path), Pieces(path), words(2)
+    lib, own, texts = sentencepiece.SentencePieceProcessor(model_file=path), Pieces(path), words(2) + long_words(5)
     got = split(*own.encode(pa.array(texts, pa.string())))
     assert got == lib.encode(texts)
     assert [own.decode(x) for x in got] == [lib.decode(x) for x in got]
@@ -95,8 +102,8 @@ def test_filters_find_all_near_vectors():
     from sessionweave.llm.embedding_dedup import code_for, reach
 
     rng = np.random.default_rng(7)
-    for dim in (1, 2, 3, 16, 64):
-        code = code_for(dim)
+    for dim, vectors in ((1, 0), (2, 0), (3, 0), (16, 0), (64, 0), (3, 10**6), (64, 2000), (64, 10**4), (24, 10**5)):
+        code = code_for(dim, vectors)
         x = rng.standard_normal((300, dim))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         y = x + 0.19 * rng.standard_normal((300, dim)) / np.sqrt(dim)

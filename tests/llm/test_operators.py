@@ -201,8 +201,10 @@ def test_embeddings(spark):
         comp = [min([comp[i], *(comp[j] for j in np.flatnonzero(link[i]))]) for i in range(n)]
     want = Counter((rows[i][0], int(link[i].sum()), min(rows[j][0] for j in range(n) if comp[j] == comp[i])) for i in range(n))
     assert link.any()
-    for block in (4, 1024):
-        assert Counter(tuple(r)[:3] for r in embedding_groups(df, block=block).collect()) == want
+    for block, size in ((4, None), (1024, 10_000)):
+        assert Counter(tuple(r)[:3] for r in embedding_groups(df, block=block, code_size=size).collect()) == want
+    odd = spark.createDataFrame([(1, [1e-200, 2e-200, 3e-200], 0, 1), (2, [2e-200, 4e-200, 6e-200], 0, 1), (3, [1.0, -2.0, 1.0], 0, 1), (4, [1e200, 2e200, 3e200], 0, 1)], "vec_id long, embedding array<double>, label int, rid int")
+    assert sorted(tuple(r)[:3] for r in embedding_groups(odd).collect()) == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1)]
     assert embedding_groups(df.limit(0)).count() == 0
 
 
