@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import tempfile
 import uuid
@@ -29,19 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_WATCHERS: list[list[Scratch]] = []
-
-
-@contextlib.contextmanager
-def collecting(into: list[Scratch]):
-    """Adds the scratch spaces that are opened meanwhile to a list, for remove() once results that read them are written."""
-    _WATCHERS.append(into)
-    try:
-        yield
-    finally:
-        _WATCHERS.remove(into)
-
-
 class Scratch:
     """Tables written as Parquet to the shared folder, so that a lost executor costs no recomputation of what precedes them."""
 
@@ -49,8 +35,6 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/sessionweave/{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-        for w in _WATCHERS:
-            w.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

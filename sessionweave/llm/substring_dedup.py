@@ -174,7 +174,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     for level, width in enumerate((*WIDTHS, None)):
         per_key = scratch.keep(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("places")).where("places > 1").select("key", "kinds"), f"keys{level}")
         now = kinds.join(per_key if width is None else per_key.where(F.col("kinds") <= most), "key")
-        marks.append(scratch.keep(_sorted_shards(_segments(now, keyed, kind, length), length), f"marks{level}"))
+        marks.append(scratch.keep(_sorted_shards(_segments(now, keyed, length), length), f"marks{level}"))
         hot = per_key.where(F.col("kinds") > most)
         if width is None or not hot.take(1):
             break
@@ -199,7 +199,7 @@ def _texts(kinds: DataFrame, keyed: DataFrame) -> DataFrame:
     return rows.select("w.*", F.substring("raw", F.col("w.p.s") + 1, F.col("w.p.e") - F.col("w.p.s")).alias("text"))
 
 
-def _segments(kinds: DataFrame, keyed: DataFrame, kind: str, length: int) -> DataFrame:
+def _segments(kinds: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
     """key, text, marks (the kinds whose windows are told by what the text holds: key, ctx, o, n) of texts to sort; a key's
     segments meet in one shard.  kinds: key, ctx, m, p and q (first and last place), kinds (under the key)."""
     alone = kinds.where("kinds = 1 and m > 1")
