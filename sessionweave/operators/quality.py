@@ -29,6 +29,39 @@ def report(windows: DataFrame, key: list[str], flags: list[str], least_rows: int
     return whole
 
 
+def core_missing(windows: DataFrame, columns: dict[str, str], warn_at: float = 0.5) -> DataFrame:
+    """Share of missing values of core columns among windows where their modality is afforded without conflict; a warning over
+    warn_at or where the column isn't there at all.  columns: column -> modality."""
+    out = None
+    for c, m in columns.items():
+        ok = F.coalesce(F.col(f"{m}_afforded"), F.lit(False)) & ~F.coalesce(F.col(f"{m}_straddle_conflict"), F.lit(False))
+        if c in windows.columns:
+            one = graded(windows.where(ok), f"core_missing_{c}", F.avg(F.when(F.col(c).isNull(), 1.0).otherwise(0.0)), None, F.coalesce(F.col("value") > warn_at, F.lit(False)))
+        else:
+            one = graded(windows.limit(0), f"core_missing_{c}", F.lit(None), None, F.lit(True))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def session_distribution(windows: DataFrame, group: str, session: str) -> DataFrame:
+    """How many participants have each number of sessions: says which can be enrolled and probed."""
+    n = windows.groupBy(group).agg(F.count_distinct(session).alias("n"))
+    return n.groupBy(F.concat(F.lit("sessions_"), F.col("n").cast("string")).alias("check")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("status", F.lit("INFO"))
+
+
+def run_checks(windows: DataFrame, checks: dict) -> DataFrame:
+    """Union of the results of checks (name -> function of windows); one that raises is a failure of that name."""
+    out = None
+    for name, check in checks.items():
+        try:
+            one = check(windows)
+            one = one.sparkSession.createDataFrame(one.collect(), "check string, value double, status string")  # a few rows
+        except Exception:  # noqa: BLE001 - whatever it is, the gate must say so and go on
+            one = windows.sparkSession.createDataFrame([(f"{name}_raised", None, "FAIL")], "check string, value double, status string")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def messages(rows: DataFrame, rules: dict[str, tuple[str, Column]]) -> DataFrame:
     """Each row with verdict FAIL, WARN or PASS and the names of the rules it breaks; a rule is (severity, broken if true)."""
     broken = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(f"{sev}:{n}")) for n, (sev, c) in rules.items())), lambda x: x.isNotNull())

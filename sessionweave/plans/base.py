@@ -20,7 +20,8 @@ def elapsed_seconds(ts, first):
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """s session, id, t seconds since the session's first event, kind, v value, k from the JSON payload."""
     e = table(spark, sf_dir, "events")
-    first = F.min("ts").over(Window.partitionBy("user_id"))
+    e = e.join(e.groupBy("user_id").agg(F.min("ts").alias("__first")), "user_id")
+    first = F.col("__first")
     return e.select(F.col("user_id").alias("s"), F.col("event_id").alias("id"), elapsed_seconds(F.col("ts"), first).alias("t"), F.col("event_type").alias("kind"), F.col("value").alias("v"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extra, more, screens, sequences
+from . import explored, extra, more, screens, sequences, verified
 
-_PARTS = (sequences, screens, more, extra)
+_PARTS = (sequences, screens, more, extra, explored, verified)
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from ..functions.stats import share
 from ..operators import scoring, screening
 from ..operators import sequence as q
 from .base import DAY, EV, events
-from .screens import _PC, WIDE, ZS, _long, _z
+from .screens import _PC, FEATURES, WIDE, ZS, _long, _z, wide
 
 
 def revisions(spark, d):
@@ -23,11 +23,6 @@ def availability_metrics(spark, d):
     return events(spark, d).groupBy("s").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in kinds))
 
 
-def risk_sessions(spark, d):
-    g = events(spark, d).groupBy("s").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n"))
-    return g.where("most > 170 or least < 0.05")
-
-
 def within_between_cv(spark, d):
     per = events(spark, d).groupBy("kind", "s").agg(F.percentile("v", F.lit(0.5)).alias("m"), (F.stddev_samp("v") / F.avg("v")).alias("cv"), F.count(F.lit(1)).alias("n")).where("n >= 5")
     return per.groupBy("kind").agg(F.round(F.percentile("cv", F.lit(0.5)), 6).alias("within"), F.round(F.stddev_samp("m") / F.avg("m"), 6).alias("between"))
@@ -43,11 +38,6 @@ def clean_sessions(spark, d):
     return g.where((F.col("longest_gap") <= 3 * DAY) & (F.abs("median_v") <= 75))
 
 
-def speed_accuracy(spark, d):
-    e = q.next_time(events(spark, d), F.col("kind") == "purchase").where("kind = 'view' and next_t is not null").withColumn("lat", F.col("next_t") - F.col("t"))
-    return e.groupBy((F.col("k") % 2 == 0).alias("correct")).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("lat", F.lit(0.5)), 4).alias("median"))
-
-
 def stability(spark, d):
     g = events(spark, d).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.round(100 * share(F.col("kind") == "error"), 6).alias("error_pct"), F.round(100 * share(F.col("v") > 100), 6).alias("high_pct"))
     return g.where("n >= 20")
@@ -57,12 +47,6 @@ def distinct_context(spark, d):
     return events(spark, d).groupBy((F.col("s") % 40).alias("pid")).agg(F.count_distinct("kind").alias("kinds"), F.count_distinct("k").alias("ks"), F.count_distinct("s").alias("sessions"))
 
 
-def quanta(spark, d):
-    """How many distinct payload values each kind has, and the six least."""
-    g = events(spark, d).groupBy("kind").agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    return g.select("kind", F.size("ks").cast("long").alias("n"), F.array_join(F.slice("ks", 1, 6).cast("array<string>"), ",").alias("first_six"))
-
-
 def fixed_identities(spark, d):
     """Identities with enough probe rows for the longest trust window."""
     z = _z(spark, d).where("genuine")
@@ -72,25 +56,14 @@ def fixed_identities(spark, d):
 def context_confound(spark, d):
     """Strongest association of each feature with any grouping, first grouping on a tie."""
     long = _long(spark, d).withColumns({"by_kind": F.col("kind"), "by_s": (F.col("s") % 7).cast("string")})
-    both = [screening.group_lock(long.withColumn("g", F.col(c)), "g").select("feature", F.lit(c).alias("grouping"), F.round("association", 6).alias("association")) for c in ("by_kind", "by_s")]
-    a = both[0].unionByName(both[1]).where("association is not null")
-    w = Window.partitionBy("feature").orderBy(F.desc("association"), "grouping")
-    return a.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    return screening.context_confound(long, ["by_kind", "by_s"]).select("feature", "grouping", F.round("association", 6).alias("association"))
 
 
 def high_pairs(spark, d):
-    p = screening.pairwise_correlation(_long(spark, d), "id")
+    p = screening.pairwise_correlation(wide(spark, d), FEATURES)
     return p.where(F.abs("r") >= 0.5).select("a", "b", F.round("r", 6).alias("r"))
 
 
-def control_gap(spark, d):
-    """Real against moved labels, per trust window: difference of the mean score of the claimed identity."""
-    z = _z(spark, d)
-    labels = z.select("pid").distinct().withColumn("fake", (F.col("pid") + 1) % 10)
-    f = z.join(labels, "pid")
-    return f.groupBy("pid").agg(F.round(F.avg(F.when(F.col("genuine"), F.col("z"))) - F.avg(F.when(F.col("fake") == F.col("cand"), F.col("z"))), 5).alias("gap"))
-
-
 def enrolment_ablation(spark, d):
     """Mean of at most n rows of each session, chosen by a fixed order of their keys, for three sizes."""
     e = events(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy((F.col("id") * 7919) % 10007, "id")))
@@ -98,12 +71,6 @@ def enrolment_ablation(spark, d):
     return e.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.count_distinct("s").alias("sessions"))
 
 
-def typing_episodes(spark, d):
-    """Per session day: events, share of errors and events per purchase, of days with three or more."""
-    e = events(spark, d).groupBy("s", F.floor(F.col("t") / DAY).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(share(F.col("kind") == "error"), 6).alias("error_rate"), F.count(F.when(F.col("kind") == "purchase", 1)).alias("p"))
-    return e.where("n >= 3").select("s", "day", "n", "error_rate", F.round(F.col("n") / F.when(F.col("p") > 0, F.col("p")), 6).alias("per_purchase"))
-
-
 def loo_bounds(spark, d):
     """Least and greatest area when any one identity is left out."""
     a = scoring.leave_one_out_auc(_z(spark, d), "pid", [], score="z")
@@ -115,20 +82,15 @@ _LOCK = """SELECT feature, '{g}' AS grouping, CASE WHEN groups >= 2 AND off_mode
 SQL = {
     "revisions": EV + " SELECT s, CAST(floor(t / 86400) AS BIGINT) AS day, count(*) AS n, round(sum(v), 4) AS total FROM ev WHERE kind = 'purchase' GROUP BY ALL HAVING count(*) > 1",
     "availability_metrics": EV + " SELECT s, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("click", "view", "purchase", "signup", "error")) + " FROM ev GROUP BY s",
-    "risk_sessions": EV + " SELECT s, min(v) AS least, max(v) AS most, count(*) AS n FROM ev GROUP BY s HAVING max(v) > 170 OR min(v) < 0.05",
     "within_between_cv": EV + ", p AS (SELECT kind, s, quantile_cont(v, 0.5) AS m, stddev_samp(v) / avg(v) AS cv FROM ev GROUP BY ALL HAVING count(*) >= 5) SELECT kind, round(quantile_cont(cv, 0.5), 6) AS within, round(stddev_samp(m) / avg(m), 6) AS between FROM p GROUP BY kind",
     "describe_features": WIDE + " SELECT feature, count(value) AS n, count(DISTINCT value) AS distinct_values, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance, min(value) AS least, max(value) AS most, round(avg((value IS NULL)::INT), 6) AS missing FROM lg GROUP BY feature",
     "clean_sessions": EV + ", d AS (SELECT s, v, t - lag(t) OVER (PARTITION BY s ORDER BY t, id) AS dt FROM ev) SELECT s, round(max(dt), 6) AS longest_gap, round(quantile_cont(v, 0.5), 6) AS median_v FROM d GROUP BY s HAVING max(dt) <= 259200 AND abs(quantile_cont(v, 0.5)) <= 75",
-    "speed_accuracy": EV + ", x AS (SELECT k % 2 = 0 AS correct, (SELECT min(c.t) FROM ev c WHERE c.s = ev.s AND c.kind = 'purchase' AND c.t > ev.t) - t AS lat FROM ev WHERE kind = 'view') SELECT correct, count(*) AS n, round(quantile_cont(lat, 0.5), 4) AS median FROM x WHERE lat IS NOT NULL GROUP BY correct",
     "stability": EV + " SELECT s, count(*) AS n, round(100 * avg((kind = 'error')::INT), 6) AS error_pct, round(100 * avg((v > 100)::INT), 6) AS high_pct FROM ev GROUP BY s HAVING count(*) >= 20",
     "distinct_context": EV + " SELECT s % 40 AS pid, count(DISTINCT kind) AS kinds, count(DISTINCT k) AS ks, count(DISTINCT s) AS sessions FROM ev GROUP BY ALL",
-    "quanta": EV + ", q AS (SELECT DISTINCT kind, k FROM ev WHERE k IS NOT NULL) SELECT kind, count(*) AS n, array_to_string(list_sort(list(k))[1:6], ',') AS first_six FROM q GROUP BY kind",
     "fixed_identities": ZS + " SELECT pid, count(*) AS n FROM zz WHERE genuine GROUP BY pid HAVING count(*) >= 20",
     "context_confound": WIDE + ", a AS (" + _LOCK.format(g="by_kind", e="kind") + " UNION ALL " + _LOCK.format(g="by_s", e="s % 7") + ") SELECT feature, grouping, association FROM a WHERE association IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feature ORDER BY association DESC, grouping) = 1",
     "high_pairs": _PC + " SELECT a, b, round(r, 6) AS r FROM pc WHERE abs(r) >= 0.5",
-    "control_gap": ZS + " SELECT pid, round(avg(z) FILTER (genuine) - avg(z) FILTER (cand = (pid + 1) % 10), 5) AS gap FROM zz GROUP BY pid",
     "enrolment_ablation": EV + ", x AS (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY (id * 7919) % 10007, id) AS r FROM ev) SELECT size, count(*) AS n, round(avg(v), 6) AS mean, count(DISTINCT s) AS sessions FROM x, (VALUES (5), (20), (50)) AS t(size) WHERE r <= size GROUP BY size",
-    "typing_episodes": EV + " SELECT s, CAST(floor(t / 86400) AS BIGINT) AS day, count(*) AS n, round(avg((kind = 'error')::INT), 6) AS error_rate, round(count(*) / nullif(count(*) FILTER (kind = 'purchase'), 0), 6) AS per_purchase FROM ev GROUP BY ALL HAVING count(*) >= 3",
     "loo_bounds": ZS + ", i AS (SELECT DISTINCT pid AS o FROM zz), x AS (SELECT i.o, z, genuine FROM zz JOIN i ON zz.pid <> i.o), r AS (SELECT *, rank() OVER (PARTITION BY o ORDER BY z) + (count(*) OVER (PARTITION BY o, z) - 1) / 2.0::DOUBLE AS r FROM x), a AS (SELECT o, (sum(r) FILTER (genuine) - count(*) FILTER (genuine) * (count(*) FILTER (genuine) + 1) / 2.0) / (count(*) FILTER (genuine) * count(*) FILTER (NOT genuine)) AS auc FROM r GROUP BY o) SELECT round(min(auc), 6) AS least, round(max(auc), 6) AS most, count(*) AS identities FROM a",
 }
 

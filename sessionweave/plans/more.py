@@ -69,20 +69,6 @@ def modal_kind(spark, d):
     return n.groupBy("s").agg(F.max_by("kind", F.struct("n", "kind")).alias("mode"), F.max("n").alias("n"))
 
 
-def session_gaps(spark, d):
-    s = events(spark, d).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.col("s") % 10).orderBy("s")
-    return s.select((F.col("s") % 10).alias("pid"), "s", (F.col("s") - F.lag("s").over(w)).alias("gap"), F.row_number().over(w).alias("session_no"))
-
-
-def permutation_control(spark, d):
-    """Verification with probe identities moved on by one: the labels carry nothing, so the area is near a half."""
-    z = _z(spark, d)
-    labels = z.select("pid").distinct().withColumn("fake", F.coalesce(F.lead("pid").over(Window.partitionBy(F.lit(0)).orderBy("pid")), F.first("pid").over(Window.partitionBy(F.lit(0)).orderBy("pid"))))
-    f = z.drop("genuine").join(labels, "pid").withColumns({"genuine": F.col("fake") == F.col("cand"), "g": F.lit(0)})
-    return scoring.auc(f, ["g"], score="z").select(F.round("auc", 6).alias("auc"))
-
-
 def dropout(spark, d):
     """Identification with scores masked by a fixed fraction of candidates' keys, at three rates."""
     z = _z(spark, d).withColumn("u", (F.col("trust_id") * 7919 + F.col("cand") * 104729) % 100)
@@ -99,12 +85,12 @@ def per_identity(spark, d):
 def combination_sweep(spark, d):
     """Fusion of every pair of kinds and of all, weighted equally and by count."""
     e = events(spark, d).groupBy("s", "kind").agg(F.avg("v").alias("m"), F.count(F.lit(1)).cast("double").alias("n"))
-    z = e.withColumn("z", F.col("m") - F.avg("m").over(Window.partitionBy("kind")))
+    z = e.join(e.groupBy("kind").agg(F.avg("m").alias("mean")), "kind").withColumn("z", F.col("m") - F.col("mean"))
     kinds = ("click", "view", "purchase")
     combos = [(a, b) for i, a in enumerate(kinds) for b in kinds[i + 1 :]] + [kinds]
     table_ = z.sparkSession.createDataFrame([("+".join(c), k) for c in combos for k in c], "combo string, kind string")
     both = z.join(table_, "kind").select("*", F.explode(F.array(F.lit("equal"), F.lit("count"))).alias("scheme")).withColumn("w", F.when(F.col("scheme") == "equal", 1.0).otherwise(F.col("n")))
-    return scoring.weighted_fusion(both, ["combo", "scheme", "s"]).groupBy("combo", "scheme").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fused"), 6).alias("mean"), F.round(F.stddev_pop("fused"), 6).alias("sd"))
+    return scoring.weighted_fusion(both, ["combo", "scheme", "s"]).groupBy("combo", "scheme").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("fused"), 6) + 0.0).alias("mean"), F.round(F.stddev_pop("fused"), 6).alias("sd"))
 
 
 def hijack_splice(spark, d):
@@ -122,13 +108,6 @@ def latency_by_kind(spark, d):
     return e.groupBy("kind").agg(F.count("lat").alias("n"), F.round(F.percentile("lat", F.lit(0.5)), 4).alias("median")).where("n >= 20")
 
 
-def context_change(spark, d):
-    """Kind of a session's first event against its last: changed, and the change of value."""
-    at = F.struct("t", "id")
-    g = events(spark, d).groupBy("s").agg(F.min_by(F.struct("kind", "v"), at).alias("a"), F.max_by(F.struct("kind", "v"), at).alias("b"))
-    return g.select("s", (F.col("a.kind") != F.col("b.kind")).alias("changed"), F.round(F.col("b.v") - F.col("a.v"), 6).alias("delta"))
-
-
 def task_progress(spark, d):
     e = events(spark, d).where("kind = 'purchase'")
     w = Window.partitionBy("s").orderBy("t", "id")
@@ -148,14 +127,11 @@ SQL = {
     "duplicate_rows": "SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE)) AS n FROM orders QUALIFY n > 1",
     "keep_first": EV + " SELECT s, kind, id FROM ev QUALIFY row_number() OVER (PARTITION BY s, kind ORDER BY t, id) = 1",
     "modal_kind": EV + ", n AS (SELECT s, kind, count(*) AS n FROM ev GROUP BY ALL) SELECT s, kind AS mode, n FROM n QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, kind DESC) = 1",
-    "session_gaps": "WITH s AS (SELECT DISTINCT user_id AS s FROM events) SELECT s % 10 AS pid, s, s - lag(s) OVER w AS gap, row_number() OVER w AS session_no FROM s WINDOW w AS (PARTITION BY s % 10 ORDER BY s)",
-    "permutation_control": ZS + ", l AS (SELECT pid, coalesce(lead(pid) OVER (ORDER BY pid), first_value(pid) OVER (ORDER BY pid)) AS fake FROM (SELECT DISTINCT pid FROM zz)), f AS (SELECT z, fake = cand AS y FROM zz JOIN l USING (pid)), r AS (SELECT y, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2.0::DOUBLE AS r FROM f) SELECT round((sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS auc FROM r",
     "dropout": ZS + ", x AS (SELECT *, (trust_id * 7919 + cand * 104729) % 100 AS u FROM zz), k AS (SELECT rate, genuine FROM x, (VALUES (0), (20), (50)) AS t(rate) WHERE u >= rate QUALIFY row_number() OVER (PARTITION BY rate, trust_id ORDER BY z DESC, cand) = 1) SELECT rate, count(*) AS n, round(avg(genuine::INT), 6) AS rank1 FROM k GROUP BY rate",
     "per_identity": ZS + ", r AS (SELECT pid, genuine AS y, rank() OVER (PARTITION BY pid ORDER BY z) + (count(*) OVER (PARTITION BY pid, z) - 1) / 2.0::DOUBLE AS r FROM zz) SELECT pid, (count(*) FILTER (y))::DOUBLE AS n1, (count(*) FILTER (NOT y))::DOUBLE AS n0, round(CASE WHEN count(*) FILTER (y) > 0 AND count(*) FILTER (NOT y) > 0 THEN (sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) END, 6) AS auc FROM r GROUP BY pid",
-    "combination_sweep": EV + ", m AS (SELECT s, kind, avg(v) AS m, count(*)::DOUBLE AS n FROM ev GROUP BY ALL), z AS (SELECT s, kind, n, m - avg(m) OVER (PARTITION BY kind) AS z FROM m), c AS (SELECT unnest(['click+view', 'click+view', 'click+purchase', 'click+purchase', 'view+purchase', 'view+purchase', 'click+view+purchase', 'click+view+purchase', 'click+view+purchase']) AS combo, unnest(['click', 'view', 'click', 'purchase', 'view', 'purchase', 'click', 'view', 'purchase']) AS kind), f AS (SELECT combo, scheme, s, sum(z * CASE WHEN scheme = 'equal' THEN 1 ELSE n END) / sum(CASE WHEN scheme = 'equal' THEN 1 ELSE n END) AS f FROM z JOIN c USING (kind), (VALUES ('equal'), ('count')) AS t(scheme) GROUP BY ALL) SELECT combo, scheme, count(*) AS n, round(avg(f), 6) AS mean, round(stddev_pop(f), 6) AS sd FROM f GROUP BY ALL",
+    "combination_sweep": EV + ", m AS (SELECT s, kind, avg(v) AS m, count(*)::DOUBLE AS n FROM ev GROUP BY ALL), z AS (SELECT s, kind, n, m - avg(m) OVER (PARTITION BY kind) AS z FROM m), c AS (SELECT unnest(['click+view', 'click+view', 'click+purchase', 'click+purchase', 'view+purchase', 'view+purchase', 'click+view+purchase', 'click+view+purchase', 'click+view+purchase']) AS combo, unnest(['click', 'view', 'click', 'purchase', 'view', 'purchase', 'click', 'view', 'purchase']) AS kind), f AS (SELECT combo, scheme, s, sum(z * CASE WHEN scheme = 'equal' THEN 1 ELSE n END) / sum(CASE WHEN scheme = 'equal' THEN 1 ELSE n END) AS f FROM z JOIN c USING (kind), (VALUES ('equal'), ('count')) AS t(scheme) GROUP BY ALL) SELECT combo, scheme, count(*) AS n, round(avg(f), 6) + 0.0::DOUBLE AS mean, round(stddev_pop(f), 6) AS sd FROM f GROUP BY ALL",
     "hijack_splice": EV + ", x AS (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY t, id) AS rn, count(*) OVER (PARTITION BY s) AS n FROM ev), u AS (SELECT s AS a, 0 AS part, rn, v FROM x WHERE rn <= floor(n / 2) UNION ALL SELECT s - 1, 1, rn, v FROM x), y AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY part, rn) AS pos FROM u), r AS (SELECT *, avg(v) OVER (PARTITION BY a ORDER BY pos ROWS 4 PRECEDING) AS roll FROM y) SELECT a, count(*) AS n, coalesce(max(pos) FILTER (part = 0), 0) AS split, round(max(roll), 6) AS most FROM r GROUP BY a",
     "latency_by_kind": EV + ", x AS (SELECT kind, (SELECT min(c.t) FROM ev c WHERE c.s = ev.s AND c.kind = 'click' AND c.t > ev.t) - t AS lat FROM ev WHERE kind <> 'click') SELECT kind, count(lat) AS n, round(quantile_cont(lat, 0.5), 4) AS median FROM x GROUP BY kind HAVING count(lat) >= 20",
-    "context_change": EV + ", f AS (SELECT s, kind, v FROM ev QUALIFY row_number() OVER (PARTITION BY s ORDER BY t, id) = 1), l AS (SELECT s, kind, v FROM ev QUALIFY row_number() OVER (PARTITION BY s ORDER BY t DESC, id DESC) = 1) SELECT f.s, f.kind <> l.kind AS changed, round(l.v - f.v, 6) AS delta FROM f JOIN l USING (s)",
     "task_progress": EV + " SELECT s, id, row_number() OVER w AS ordinal, round(t - first_value(t) OVER w, 6) AS elapsed FROM ev WHERE kind = 'purchase' WINDOW w AS (PARTITION BY s ORDER BY t, id)",
 }
 

@@ -41,19 +41,19 @@ def group_lock(spark, d):
 
 
 def pairwise_corr(spark, d):
-    return screening.pairwise_correlation(_long(spark, d), "id").withColumn("r", F.round("r", 6))
+    return screening.pairwise_correlation(wide(spark, d), FEATURES).withColumn("r", F.round("r", 6))
 
 
 def redundancy_mutual(spark, d):
     long = _long(spark, d)
-    best = screening.redundancy(screening.pairwise_correlation(long, "id"))
+    best = screening.redundancy(screening.pairwise_correlation(wide(spark, d), FEATURES))
     return screening.duplicates(best, screening.availability(long, "s"))
 
 
 def feature_decisions(spark, d):
     long = _long(spark, d)
     diag = screening.availability(long, "s").join(screening.exposure(long, "s").select("feature", F.col("flag").alias("exposure_flag")), "feature", "left")
-    return screening.decisions(diag).select("feature", "decision")
+    return screening.decisions(diag, ("f_noise",)).select("feature", "decision", "decision_reason")
 
 
 def reliability_verdict(spark, d):
@@ -94,7 +94,7 @@ def scored(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings").where("embedding is not null and label is not null")
     refs = scoring.mean_vectors(e.where("vec_id % 2 = 0"), ["label"], "embedding").where("n >= 2").select(F.col("label").alias("cand"), "mean")
     probes = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("trust_id"), F.col("label").alias("pid"), "embedding")
-    met = probes.crossJoin(refs)  # references are one row per enrolled identity
+    met = scoring.against(probes, refs)
     return met.select("trust_id", "pid", "cand", (F.col("pid") == F.col("cand")).alias("genuine"), (-scoring.distance(F.col("embedding"), F.col("mean"))).alias("score"))
 
 
@@ -142,7 +142,7 @@ def trust_windows(spark, d):
 
 def weighted_fusion(spark, d):
     e = events(spark, d).groupBy("s", "kind").agg(F.avg("v").alias("m"), F.count(F.lit(1)).cast("double").alias("w"))
-    z = e.withColumn("z", F.col("m") - F.avg("m").over(Window.partitionBy("kind")))
+    z = e.join(e.groupBy("kind").agg(F.avg("m").alias("mean")), "kind").withColumn("z", F.col("m") - F.col("mean"))
     return scoring.weighted_fusion(z.where("w >= 5"), ["s"]).withColumn("fused", F.round("fused", 6))
 
 
@@ -192,8 +192,9 @@ def log_bins(spark, d):
 
 
 def ecdf(spark, d):
-    e = events(spark, d)
-    return e.select("kind", "id", F.round(F.cume_dist().over(Window.partitionBy("kind").orderBy("v")), 6).alias("p"))
+    e = events(spark, d).select("kind", "id", "v")
+    r = scoring.value_ranks(e, ["kind"], "v").join(e.groupBy("kind").agg(F.count(F.lit(1)).alias("total")), "kind")
+    return e.join(r, ["kind", "v"]).select("kind", "id", F.round((F.col("below_n") + F.col("n")) / F.col("total"), 6).alias("p"))
 
 
 def interval_percentiles(spark, d):
@@ -231,7 +232,8 @@ def orders_semi(spark, d):
 
 
 def orders_anti(spark, d):
-    c = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    dear = table(spark, d, "orders").where("o_totalprice > 250000")
+    c = table(spark, d, "customer").join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return c.select("c_custkey", "c_name", "c_nationkey")
 
 
@@ -277,7 +279,7 @@ SQL = {
  be AS (SELECT feature, partner, round(abs(r), 3) AS c FROM bo QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(abs(r), 9) DESC, partner) = 1), su AS (SELECT feature, count(value) AS n FROM lg GROUP BY feature)
  SELECT CASE WHEN sb.n > sa.n THEN x.feature ELSE y.feature END AS dropped, CASE WHEN sb.n > sa.n THEN y.feature ELSE x.feature END AS kept FROM be x JOIN be y ON x.partner = y.feature AND y.partner = x.feature AND x.feature < y.feature
  JOIN su sa ON sa.feature = x.feature JOIN su sb ON sb.feature = y.feature WHERE x.c = 1 AND y.c = 1""",
-    "feature_decisions": _AV + " SELECT av.feature, CASE WHEN n = 0 THEN 'empty' WHEN n > 0 AND pct < 1 THEN 'near_empty' WHEN regexp_matches(av.feature, '(_n|_count)$') THEN 'count_like' WHEN coalesce(abs(r) >= 0.5, false) THEN 'exposure_confound' ELSE 'keep' END AS decision FROM av LEFT JOIN ex ON av.feature = ex.feature",
+    "feature_decisions": _AV + ", w AS (SELECT av.feature, CASE WHEN starts_with(av.feature, 'f_noise') THEN 'hard_excluded_family' WHEN n = 0 THEN 'fully_empty' WHEN n > 0 AND pct < 1 THEN 'near_empty' WHEN regexp_matches(av.feature, '(_n|_count)$') THEN 'count_like' WHEN coalesce(abs(r) >= 0.5, false) THEN 'high_exposure_corr' ELSE 'kept' END AS decision_reason FROM av LEFT JOIN ex ON av.feature = ex.feature) SELECT feature, CASE WHEN decision_reason = 'kept' THEN 'keep' ELSE 'drop' END AS decision, decision_reason FROM w",
     "reliability_verdict": EV + """, p AS (SELECT s, count(*) AS n, avg(v - 40 - k / 10.0::DOUBLE) AS m FROM ev GROUP BY s), q AS (SELECT count(*) AS groups, count(*) FILTER (n >= 5) AS voting, max(n) / sum(n) AS top_share,
  greatest(count(*) FILTER (n >= 5 AND m > 0), count(*) FILTER (n >= 5 AND m < 0)) / nullif(count(*) FILTER (n >= 5), 0) AS consensus FROM p)
  SELECT groups, voting, round(top_share, 6) AS top_share, round(consensus, 6) AS consensus, CASE WHEN voting < 3 THEN 'underpowered' WHEN top_share > 0.4 AND consensus < 1 THEN 'dominated_and_contested' WHEN consensus < 0.8 THEN 'contested' ELSE 'trustworthy' END AS verdict FROM q""",
@@ -315,7 +317,7 @@ SQL = {
     "within_between": EV + ", p AS (SELECT kind, s, avg(v) AS m, stddev_samp(v) AS sd FROM ev GROUP BY ALL HAVING count(*) >= 10) SELECT kind, round(stddev_samp(m) / quantile_cont(sd, 0.5), 6) AS separation, count(*) AS groups FROM p GROUP BY kind",
     "schema_profile": "SELECT (SELECT count(*) FROM events) AS rows, c AS \"column\", n AS non_null, round(n * 100.0 / (SELECT count(*) FROM events), 2) AS pct FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count({c}) AS n FROM events" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")) + ")",
     "orders_semi": "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) GROUP BY ALL",
-    "orders_anti": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "orders_anti": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "orders_sets": "WITH u AS (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), o AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'), r AS (SELECT o_custkey, 'both' AS \"set\" FROM (SELECT * FROM u INTERSECT SELECT * FROM o) UNION ALL SELECT o_custkey, 'urgent_left' FROM (SELECT DISTINCT * FROM (SELECT * FROM u EXCEPT ALL SELECT * FROM o))) SELECT \"set\", count(*) AS n, sum(o_custkey) AS key_sum FROM r GROUP BY ALL",
     "orders_topk": "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 20",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net, round(avg(l_discount), 6) AS avg_discount, count(*) AS n FROM lineitem GROUP BY ALL",

@@ -22,6 +22,8 @@ def session(sid: str, pid: str, seconds: float = 40.0) -> list[tuple]:
         add("keyup", 500 + i * 550 + 90 + 5 * (i % 4))
     for i in range(14):
         t = 20_500 + i * 1300
+        if t + 700 > seconds * 1000:
+            break
         add("touchstart", t, payload_xNorm=(i % 8) / 8.5, payload_yNorm=((3 * i) % 8) / 8.5, payload_radiusX=10.0 + i % 3, payload_radiusY=9.0, payload_force=0.1 * (i % 4), payload_componentId="continue_button" if i % 5 == 0 else "other")
         hold = 700 if i % 4 == 3 else 120
         for j in range(4 if i % 3 == 0 else 0):

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from sessionweave.sources import sessions as src
 
 
+NAME = "some_app"
+
+
 def document(sid, **more):
     ev = [{"kind": "task_start", "tRelMs": 0, "payload": {"taskType": "typing"}}, {"kind": "keydown", "tRelMs": 5.5, "payload": {"keyClass": "LETTER", "nested": {"a": [1, 2]}}}, None, {"kind": "keyup"}]
-    return {"schemaName": src.SCHEMA_NAME, "schemaVersion": "1.2.0", "sessionId": sid, "participantId": "p", "device": {"deviceFamily": "mobile"}, "context": {"fatigue": "3", "focusLevel": ""}, "startedAtIso": "2024-01-01T00:00:00Z", "events": ev} | more
+    return {"schemaName": NAME, "schemaVersion": "1.2.0", "sessionId": sid, "participantId": "p", "device": {"deviceFamily": "mobile"}, "context": {"fatigue": "3", "focusLevel": ""}, "startedAtIso": "2024-01-01T00:00:00Z", "events": ev} | more
 
 
 def test_documents(spark, tmp_path):
@@ -18,12 +21,13 @@ def test_documents(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "session.json").write_text(d if isinstance(d, str) else json.dumps(d))
     read = src.read_documents(spark, str(tmp_path)).cache()
-    m = {r["folder"]: r for r in src.manifest(read).collect()}
+    m = {r["folder"]: r for r in src.manifest(read, NAME).collect()}
     assert m["a"]["included"] and m["a"]["eventCount"] == 4
     assert {k: m[k]["issues"] for k in "bcdef"} == {"b": "schemaVersion too old", "c": "sessionId differs from folder", "d": "no events", "e": "unexpected schemaName; schemaVersion too old", "f": "invalid JSON"}
-    raw = src.flatten(read)
+    raw = src.flatten(read, NAME)
     rows = raw.orderBy("eventIndex").collect()
     assert [r["eventIndex"] for r in rows] == [0, 1, 3] and rows[1]["payload_nested"] == '{"a": [1, 2]}' and rows[0]["rowId"] == "a__0"
+    assert {"usableForSignalExtraction", "devicePlatform", "consentVersion"} <= set(raw.columns) and "ctxDevicePlatform" not in raw.columns
     assert rows[0]["ctxFatigue"] == 3 and rows[0]["ctxFocusLevel"] is None
     p = {r["column"]: r for r in src.profile(raw).collect()}
     assert p["payload_keyClass"]["nonNull"] == 1 and p["kind"]["pct"] == 100.0
