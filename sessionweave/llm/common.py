@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +45,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self, *names: str) -> None:
-        """Drops tables that are no longer read, and lets Spark delete the shuffle files of finished steps when it next can."""
+        """Drops tables that are no longer read, and lets Spark delete the shuffle files of finished steps: without this they stay until
+        the driver happens to collect its garbage, and a chain of steps needs a multiple of the disk."""
         for n in names:
             self.drop(n)
-        gc.collect()  # frames that Python has let go of, then what they held in the JVM
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # frames that Python has let go of, then what they held in the JVM
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
     def part(self, name: str) -> Scratch:
         """A space within this one, which goes when this one goes."""

@@ -9,16 +9,18 @@ fingerprint of the context, place) is shuffled.  Contexts whose anchor occurs on
 same anchor and fingerprint are one kind; a kind's first and last place stand for all of its places, so a passage that a third
 of all documents share goes on as two.
 
-Segments.  The text around both places is cut out and goes to one shard.  Where an anchor has one kind only, adjacent contexts
-whose places lie in the same two documents at one distance make one run, so the runs of two copies of a document meet as a whole
-(cut at every STRIDE bytes).  Where an anchor has several kinds, all of its segments go to the anchor's shard.  A shard of about
-SHARD bytes is suffix-sorted by induced sorting (``suffix.py``), and windows whose permuted common prefix with a neighbour is
-LENGTH or more are repeats: that alone decides, hashes only say what meets.  What is found for a kind holds at all of its places.
-
-Splitting.  Anchors with more than MOST kinds (the edge of a passage that very many documents share) are not sorted in one
-task: their contexts are split by the windows' offset to the anchor into pieces of 24 windows, keyed by the bytes that all of
-them have in common, then of 4 and of 1; pieces are contexts under their new key, and are sorted as those are.  At width 1 a key
-holds equal windows only.
+Segments.  What a kind with two places or more holds is told by the text around both: it is cut out and goes to one shard.  Adjacent
+contexts whose places lie in the same two documents at one distance make one run, so the runs of two copies of a document meet as a
+whole (cut at every STRIDE bytes).  A kind with one place is told by all kinds with its key, whose segments go to the key's shard.
+A shard of about SHARD bytes is suffix-sorted by induced sorting (``suffix.py``), and windows whose permuted common prefix with a
+neighbour is LENGTH or more are repeats: that alone decides, hashes only say what meets.  What is found for a kind holds at all of
+its places.
+
+Splitting.  Most windows of a kind with one place reach beyond what the documents share.  So the contexts of its key are first split
+by the windows' offset to the anchor into pieces of 24 windows, keyed by the bytes that all of them have in common; a piece whose
+key occurs once holds no repeat, the others are contexts under their new key and are told as those are.  Keys with more than MOST
+different pieces (the edge of a passage that very many documents share) are not sorted in one task but split again, into groups
+of 4 windows and then of 1; at width 1 a key holds equal windows only.
 
 Defined results: null text counts as empty; texts under LENGTH bytes keep everything; overlapping occurrences count;
 repeated rows are occurrences of their own, so their windows are repeats; a null doc_id is a document as any other; an empty
@@ -167,20 +169,26 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     scratch.release("anchors", "status")
     place = F.struct("dk", "doc_id", "s", "e", "a")
     kinds = flagged.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("p"), F.max(place).alias("q"))
-    kinds = scratch.keep(kinds.select(F.col("h").alias("key"), F.col("c").alias("ctx"), "m", "p", "q", F.lit(0).alias("i"), (F.col("p.e") - F.col("p.s")).alias("n")), "kinds0")
+    kinds = scratch.keep(kinds.select(F.col("h").alias("key"), F.col("c").alias("ctx"), "m", "p", "q", F.lit(True).alias("open"), (F.col("p.e") - F.col("p.s")).alias("n")), "kinds0")
 
-    # level 0 holds whole contexts; each further one the pieces of those whose keys are held by too many
+    # level 0 holds whole contexts; each further one the pieces of those that differ under one key.  What occurs twice is told by the
+    # text around its first and last place; what occurs once, by all that is under its key
     marks, parents = [], []
     for level, width in enumerate((*WIDTHS, None)):
-        per_key = scratch.keep(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("places")).where("places > 1").select("key", "kinds"), f"keys{level}")
-        now = kinds.join(per_key if width is None else per_key.where(F.col("kinds") <= most), "key")
-        marks.append(scratch.keep(_sorted_shards(_segments(now, keyed, length), length), f"marks{level}"))
-        hot = per_key.where(F.col("kinds") > most)
+        once = F.col("open") & (F.col("m") == 1)
+        per_key = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or(once).alias("once")).where("kinds > 1 and once").select("key", "kinds")
+        per_key = scratch.keep(per_key, f"keys{level}")
+        limit = most if level else 1  # whole contexts are split at once: most of their windows reach beyond what is shared
+        shards = kinds.join(per_key if width is None else per_key.where(F.col("kinds") <= limit), "key")
+        marks.append(scratch.keep(_sorted_shards(_segments(kinds.where("open and m > 1"), shards, keyed, length), length), f"marks{level}"))
+        scratch.release()
+        hot = per_key.where(F.col("kinds") > limit)
         if width is None or not hot.take(1):
             break
-        pieces = scratch.keep(_split(_texts(kinds.join(hot.select("key"), "key", "left_semi"), keyed), width, length), f"pieces{level}")
+        pieces = scratch.keep(_split(kinds.join(hot.select("key"), "key", "left_semi"), keyed, width, length), f"pieces{level}")
+        scratch.release()
         parents.append(pieces.select("key", "ctx", "pk", "pc", "i"))
-        kinds = scratch.keep(pieces.groupBy("key", "ctx").agg(F.sum("m").alias("m"), F.min("p").alias("p"), F.max("q").alias("q"), F.min("n").alias("n")).select("key", "ctx", "m", "p", "q", F.lit(0).alias("i"), "n"), f"kinds{level + 1}")
+        kinds = scratch.keep(pieces.groupBy("key", "ctx").agg(F.sum("m").alias("m"), F.min("p").alias("p"), F.max("q").alias("q"), F.bool_or("open").alias("open"), F.min("n").alias("n")), f"kinds{level + 1}")
     out = marks.pop()
     while marks:  # from pieces to what they were cut from, level by level
         of = parents[len(marks) - 1]
@@ -190,33 +198,27 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     return flagged.join(out, ["h", "c"]).select("dk", "doc_id", (F.col("s") + F.col("from")).alias("a"), (F.col("s") + F.col("to") - 1 + length).alias("b"))
 
 
-def _texts(kinds: DataFrame, keyed: DataFrame) -> DataFrame:
-    """kinds with the bytes at their first place: key, ctx, m, p, q, text."""
-    wanted = kinds.select("key", "ctx", "m", "p", "q", F.col("p.dk").alias("wk"), F.col("p.doc_id").alias("wid"))
-    per = wanted.groupBy("wk", "wid").agg(F.collect_list(F.struct("key", "ctx", "m", "p", "q")).alias("w"))
-    same = (F.col("dk") == F.col("wk")) & F.col("doc_id").eqNullSafe(F.col("wid"))
-    rows = keyed.dropDuplicates(["dk", "doc_id"]).join(per, same).select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), F.explode("w").alias("w"))
-    return rows.select("w.*", F.substring("raw", F.col("w.p.s") + 1, F.col("w.p.e") - F.col("w.p.s")).alias("text"))
+def _with_texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text and w (a list) of the documents that wanted(dk, doc_id, w) names; a document that occurs twice comes twice."""
+    per = wanted.groupBy(F.col("dk").alias("wk"), F.col("doc_id").alias("wid")).agg(F.collect_list("w").alias("w"))
+    return keyed.join(per.hint("shuffle_hash"), (F.col("dk") == F.col("wk")) & F.col("doc_id").eqNullSafe(F.col("wid"))).select("text", "w")
 
 
-def _segments(kinds: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
-    """key, text, marks (the kinds whose windows are told by what the text holds: key, ctx, o, n) of texts to sort; a key's
-    segments meet in one shard.  kinds: key, ctx, m, p and q (first and last place), kinds (under the key)."""
-    alone = kinds.where("kinds = 1 and m > 1")
+def _segments(twice: DataFrame, shards: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
+    """key, text, marks (the kinds whose windows are told by what the text holds: key, ctx, o, n) of texts to sort; segments with one
+    key meet in one shard.  twice: kinds (key, ctx, m, p, q, n) that occur at p and at q; shards: all kinds of keys that meet as such."""
     # a run: adjacent contexts of p's document whose q is in one other document, at one distance
     by = Window.partitionBy("p.dk", "p.doc_id").orderBy("p.s", "p.e")
     fits = (F.lag("p.e").over(by) - length + 1 == F.col("p.s")) & (F.lag("q.dk").over(by) == F.col("q.dk")) & F.lag("q.doc_id").over(by).eqNullSafe(F.col("q.doc_id")) & (F.lag(F.col("q.s") - F.col("p.s")).over(by) == F.col("q.s") - F.col("p.s"))
-    runs = alone.withColumn("new", F.when(fits, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = twice.withColumn("new", F.when(fits, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy("p.dk", "p.doc_id", "run", F.expr(f"p.s div {STRIDE}").alias("part")).agg(F.min("p.s").alias("a"), F.max("p.e").alias("b"), F.min("q").alias("q"), F.collect_list(F.struct("key", "ctx", "p.s", "n")).alias("of"))
     runs = runs.withColumn("group", F.xxhash64("dk", "doc_id", "run", "part"))
-    first = runs.select("dk", "doc_id", F.struct("group", "a", "b", F.expr("transform(of, x -> struct(x.key as key, x.ctx as ctx, x.s - a as o, x.n as n))").alias("marks")).alias("w"))
     none = F.expr("cast(array() as array<struct<key:bigint,ctx:bigint,o:int,n:int>>)")
+    first = runs.select("dk", "doc_id", F.struct("group", "a", "b", F.expr("transform(of, x -> struct(x.key as key, x.ctx as ctx, x.s - a as o, x.n as n))").alias("marks")).alias("w"))
     second = runs.select(F.col("q.dk").alias("dk"), F.col("q.doc_id").alias("doc_id"), F.struct("group", F.col("q.s").alias("a"), (F.col("q.s") + F.col("b") - F.col("a")).alias("b"), none.alias("marks")).alias("w"))
-    several = kinds.where("kinds > 1")
-    one = several.select("p.dk", "p.doc_id", F.struct(F.col("key").alias("group"), F.col("p.s").alias("a"), F.col("p.e").alias("b"), F.array(F.struct("key", "ctx", F.lit(0).alias("o"), "n")).alias("marks")).alias("w"))
-    two = several.where("m > 1").select("q.dk", "q.doc_id", F.struct(F.col("key").alias("group"), F.col("q.s").alias("a"), F.col("q.e").alias("b"), none.alias("marks")).alias("w"))
-    wanted = first.union(second).union(one).union(two).groupBy(F.col("dk").alias("wk"), F.col("doc_id").alias("wid")).agg(F.collect_list("w").alias("w"))
-    texts = keyed.join(wanted.hint("shuffle_hash"), (F.col("dk") == F.col("wk")) & F.col("doc_id").eqNullSafe(F.col("wid"))).select("text", "w")
+    own = F.when(F.col("open") & (F.col("m") == 1), F.array(F.struct("key", "ctx", F.lit(0).alias("o"), "n"))).otherwise(none)
+    met = shards.select("p.dk", "p.doc_id", F.struct(F.col("key").alias("group"), F.col("p.s").alias("a"), F.col("p.e").alias("b"), own.alias("marks")).alias("w"))
+    texts = _with_texts(keyed, first.union(second).union(met))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [pa.struct([("key", pa.int64()), ("ctx", pa.int64()), ("o", pa.int32()), ("n", pa.int32())])]
@@ -265,44 +267,50 @@ def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
 _PLACE = "struct<dk:bigint,doc_id:{k},s:int,e:int,a:int>"
 
 
-def _split(contexts: DataFrame, width: int, length: int) -> DataFrame:
-    """Pieces of contexts(key, ctx, m, p, q, text): the windows whose offset to the anchor falls into one group of width.
+def _split(kinds: DataFrame, keyed: DataFrame, width: int, length: int) -> DataFrame:
+    """Pieces of the contexts of kinds(key, ctx, m, p, q): the windows whose offset to the anchor falls into one group of width.
 
     key (of the bytes that all windows of the group have in common) and ctx (fingerprint), pk, pc and i (the context it was cut
-    from and where), n (bytes), m, and p and q, its places in the documents."""
-    kind = contexts.schema["p"].dataType["doc_id"].dataType.simpleString()
+    from and where), n (bytes), m, whether it is open still, and p and q, its places in the documents."""
+    place_type = kinds.schema["p"].dataType
+    place = _PLACE.format(k=place_type["doc_id"].dataType.simpleString())
+    texts = _with_texts(keyed, kinds.select("p.dk", "p.doc_id", F.struct("key", "ctx", "m", (F.col("open") & (F.col("m") == 1)).alias("open"), "p", "q").alias("w")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for b in batches:
-            row, rows = [], []
-            cols = (b.column(c).to_pylist() for c in ("key", "ctx", "m", "text", "s", "a"))
-            for at_row, (pk, pc, m, text, s, a) in enumerate(zip(*cols, strict=True)):
-                n = len(text) - length + 1
-                i = 0
-                while i < n:
-                    g = (a - s - i) // width
-                    at = a - s - g * width  # where the window with the group's least offset begins
-                    j = min(n - 1, at)
-                    core = text[at : at + length - width + 1]
-                    piece = text[i : j + length]
-                    row.append(at_row)
-                    rows.append((xxh3_64_intdigest(core + b"%d,%d,%d" % (pk, width, g)) - 2**63, xxh3_64_intdigest(piece, seed=1) - 2**63, pk, pc, i, len(piece), m))
-                    i = j + 1
-            out = list(zip(*rows, strict=True)) or [[]] * 7
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types, strict=True)), b.column("p").take(take), b.column("q").take(take)], ["key", "ctx", "pk", "pc", "i", "n", "m", "p0", "q0"])
-
-    place = _PLACE.format(k=kind)
-    flat = contexts.select("key", "ctx", "m", "text", "p", "q", "p.s", "p.a")
-    cut = flat.mapInArrow(lean(run), f"key long, ctx long, pk long, pc long, i int, n int, m long, p0 {place}, q0 {place}")
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        for whole in batches:
+            for b in slices(whole, "text", 500_000):
+                lists = b.column("w")
+                items = lists.flatten()
+                owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+                raws = [(t or "").encode() for t in b.column("text").to_pylist()]
+                row, rows = [], []
+                cols = (items.field(c).to_pylist() for c in ("key", "ctx", "m"))
+                spots = (items.field("p").field(c).to_pylist() for c in ("s", "e", "a"))
+                for k, (of, pk, pc, m, s, e, a) in enumerate(zip(owner.tolist(), *cols, *spots, strict=True)):
+                    text = raws[of][s:e]
+                    n = len(text) - length + 1
+                    i = 0
+                    while i < n:
+                        g = (a - s - i) // width
+                        at = a - s - g * width  # where the window with the group's least offset begins
+                        j = min(n - 1, at)
+                        core = text[at : at + length - width + 1]
+                        row.append(k)
+                        rows.append((xxh3_64_intdigest(core + b"%d,%d,%d" % (pk, width, g)) - 2**63, xxh3_64_intdigest(text[i : j + length], seed=1) - 2**63, pk, pc, i, j + length - i, m))
+                        i = j + 1
+                out = list(zip(*rows, strict=True)) or [[]] * 7
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types, strict=True)), items.field("open").take(take), items.field("p").take(take), items.field("q").take(take)], ["key", "ctx", "pk", "pc", "i", "n", "m", "open", "p0", "q0"])
+
+    cut = texts.mapInArrow(lean(run), f"key long, ctx long, pk long, pc long, i int, n int, m long, open boolean, p0 {place}, q0 {place}")
 
     def at(c: str):
         return F.struct(F.col(f"{c}.dk").alias("dk"), F.col(f"{c}.doc_id").alias("doc_id"), (F.col(f"{c}.s") + F.col("i")).alias("s"), (F.col(f"{c}.s") + F.col("i") + F.col("n")).alias("e"), F.col(f"{c}.a").alias("a"))
 
-    return cut.select("key", "ctx", "pk", "pc", "i", "n", "m", at("p0").alias("p"), at("q0").alias("q"))
+    return cut.dropDuplicates(["pk", "pc", "i"]).select("key", "ctx", "pk", "pc", "i", "n", "m", "open", at("p0").alias("p"), at("q0").alias("q"))
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:

@@ -64,7 +64,13 @@ def test_sentencepiece_equals_the_library():
         assert own.decode(ids) == lib.decode(ids)
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize(("many", "few", "short"), [(1024, 4096, 2), (2, 4096, 2), (2, 1, 2), (1024, 4096, 32768)])
+def test_suffix_arrays(monkeypatch, many, few, short):
+    """Names in one digit and in two, buckets counted in both ways, and the recursion's end by doubling."""
+    from sessionweave.llm import suffix
+
+    for name, value in (("MANY", many), ("FEW", few), ("SHORT", short)):
+        monkeypatch.setattr(suffix, name, value)
     rng = np.random.default_rng(1)
     for it in range(400):
         t = np.append(rng.integers(1, 2 + it % 4, rng.integers(1, 60)), 0)
