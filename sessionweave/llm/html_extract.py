@@ -197,7 +197,7 @@ def blocks(page: str) -> list[Block]:
         if not block and not mark and not top.inline:
             continue
         area = top.area
-        if tag in ("article", "main") and mark != FIRM and area is None:
+        if tag in ("article", "main") and mark != FIRM and (area is None or top.weak > area.weak):
             area = Area(top.firm, top.weak)
         depth[tag].append(len(stack))
         stack.append(_Open(tag, top.firm + (mark == FIRM), top.weak + (mark == WEAK), area, not block))
@@ -207,9 +207,9 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(b: Block) -> int:
     """Label by link density, length and stop-word density.  Within an article links make nothing boilerplate."""
-    density = b.linked / max(1, len("".join(b.text.split())))
+    density = 0.0 if b.area else b.linked / max(1, len("".join(b.text.split())))
     if density > MOST_LINKED:
-        return UNSURE if b.area else BOILER
+        return BOILER
     words = _LETTERS.findall(b.text)
     if len(words) >= LEAST_WORDS and density <= FEW_LINKED and sum(len(w) <= STOP_LETTERS for w in words) >= LEAST_STOPS * len(words):
         return TEXT

@@ -122,6 +122,66 @@ def test_filters_find_all_near_vectors():
                 assert (i, int(best[i])) in stored
 
 
+SENTENCES = ["The end of the day and the house in the wood was far off.", "Il gatto di casa sta sul tetto e non scende mai perché ha paura del cane.", "Er ist mit dem Zug in die Stadt und hat auf dem Weg ein Buch an der Bar."]
+
+
+def page(r: random.Random) -> tuple[str, list[str]]:
+    """A random page whose parts are known: its html and the blocks of its article."""
+    want: list[str] = []
+
+    def paragraph(keep: bool) -> str:
+        words = r.choice(SENTENCES) if r.random() < 0.7 else r.choice(["Short.", "One two", "x &amp; y"])
+        text = f"{words} {r.randrange(1000)}"
+        if keep:
+            want.append(text.replace("&amp;", "&"))
+        inner = text.replace(" ", r.choice([" ", "  ", "\n", " <b>"]), 1)
+        if r.random() < 0.2:
+            inner = f"<a href=/x>{inner}</a>"
+        return r.choice([f"<p>{inner}</p>", f"<p>{inner}", f"<div>{inner}</div>", f"<ul><li>{inner}</ul>", f"<blockquote class='no-sidebar'>{inner}</blockquote>", f"<table><tr><td>{inner}</table>"])
+
+    def noise() -> str:
+        p = paragraph(False)
+        return r.choice([f"<nav>{p}</nav>", f"<div class='ad-slot top'>{p}</div>", f"<div id=comments>{p}{paragraph(False)}</div>", f"<aside><article>{p}</article></aside>", f"<form>{p}<button>Go</button></form>", "<script>var a = '<p>';</script>", f"<!-- {p} -->", f"<footer>{p}</footer>", f"<section class='cookieNotice'>{p}</section>", f"<div role=navigation>{p}</div>"])
+
+    body = "".join(noise() if r.random() < 0.4 else paragraph(True) for _ in range(r.randrange(1, 8)))
+    if not any(len(t.split()) > 10 for t in want):  # an article that pass one can tell
+        want.append(SENTENCES[0])
+        body += f"<p>{SENTENCES[0]}</p>"
+    whole = f"<article>{body}</article>"
+    for _ in range(r.randrange(3)):
+        whole = r.choice(["<div class='page no-sidebar'>{}</div>", "<main>{}</main>", "<form id=aspnetForm>{}</form>", "<div class='post with-comments'>{}</div>", "<section>{}</section>", "<div class='main-content'>{}</div>"]).format(whole)
+    outside = lambda: "".join(noise() for _ in range(r.randrange(3)))
+    return f"<html><head><title>t</title></head><body>{outside()}{whole}{outside()}</body></html>", want
+
+
+def test_pages_by_construction():
+    for seed in range(400):
+        html, want = page(random.Random(seed))
+        assert extract(html).split("\n") == want, (seed, html)
+
+
+def test_neighbours_decide(monkeypatch):
+    """Short blocks live by their neighbours: without pass two an article loses them."""
+    from sessionweave.llm import html_extract as h
+
+    text = f"<article><h2>Head</h2><p>{SENTENCES[0]}</p><p>Short.</p></article>"
+    plain = f"<div><a href=a>Home page</a></div><div>Near the menu</div><div><a href=b>More of it</a></div><div><a href=c>And more</a></div><div><p>{SENTENCES[1]}</p></div><div>By the text</div>"
+    assert extract(text) == f"Head\n{SENTENCES[0]}\nShort."
+    assert extract(plain) == f"{SENTENCES[1]}\nBy the text"
+    monkeypatch.setattr(h, "second_pass", lambda found: [b.label == h.TEXT for b in found])
+    assert extract(text) == SENTENCES[0]
+
+
+def test_articles_survive():
+    a = SENTENCES[0]
+    whole = [f'<div class="page no-sidebar"><p>{a}</p></div>', f'<div class="post with-comments"><article><p>{a}</p></article></div>', f'<form id="aspnetForm"><article><p>{a}</p></article></form>', f'<p class="ad">Buy<p>{a}', f'<article><ul><li class="share">Share<li>{a}</article>', f"<article><p><a href=x>{a}</a></p></article>", f"<article><p hidden>{a}</p></article>", f"<div><a href=x>one two</a></div><p>{a}</p><div><a href=y>three</a></div>"]
+    assert [extract(x) for x in whole] == [a] * len(whole)
+    assert extract(f'<article><figure class="image-popup"><figcaption>Cap</figcaption></figure><p class="social-history">Then<p>{a}</article>') == f"Cap\nThen\n{a}"
+    assert extract("<p>x &am<b>p;</b></p>") == "x &amp;"
+    for odd in ("<div>" * 20_000 + "</b></i></span>" * 20_000, "<p>" * 20_000 + "<li>" * 20_000, "</div>" * 50_000, "<table><tr><td>" * 5_000):
+        extract(odd)  # in time that grows with the page only
+
+
 def test_page_rules():
     page = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/x>Menu</a></ul></nav>
     <div class="cookie-notice">We use the cookies of this site and it is to be on all that is in the world</div>

@@ -98,24 +98,24 @@ def test_repeated_bytes(docs, none):
     assert removed(none, digests=True).count() == 0
 
 
-def test_packing(docs, none):
+def test_packing(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     from sessionweave.llm.packing import pack_documents
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    got = pack_documents(docs, path, with_ids=True).collect()
+    many = docs.unionByName(spark.createDataFrame([(None, "one two", None, None, None, None, None)] * 300, DOCS))  # a length that most rows share, without ids
+    got = pack_documents(many, path, with_ids=True).collect()
     tok = Tokenizer.from_file(path)
-    want = Counter((i, tuple([*tok.encode(t, add_special_tokens=False).ids, 2])) for i, t in text_of(docs))
-    have = defaultdict(list)
-    for r in got:
-        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
-        have[r["doc_id"], r["doc_tokens"]].append((r["start"], r["ids"]))
-    for (i, ids), times in want.items():
-        pieces = sorted((s, tuple(x)) for s, x in have[i, len(ids)])
-        assert len(pieces) % times == 0
-        assert [x for s, p in sorted(set(pieces)) for x in p][: len(ids)] == list(ids) or i is None or times > 1
+    pieces = Counter()
+    for _, t in text_of(many):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        for s in range(0, len(ids), 4096):
+            pieces[len(ids), s, tuple(ids[s : s + 4096])] += 1
+    assert Counter((r["doc_tokens"], r["start"], tuple(r["ids"])) for r in got) == pieces
+    assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(i for i, _ in text_of(many))
+    assert all(r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got)
     seqs = defaultdict(list)
     for r in got:
         seqs[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -125,6 +125,8 @@ def test_packing(docs, none):
             assert offset == at
             at += length
         assert at <= 4096
+    total = sum(r["length"] for r in got)
+    assert len(seqs) <= total // 4096 + 2 + sum(r["length"] > 2048 for r in got)
     assert pack_documents(none, path).count() == 0
 
 
@@ -140,6 +142,65 @@ def test_language(docs, none):
     assert identified(none).count() == 0
 
 
+def test_many_languages(spark):
+    """Seventy languages, one of them rare, are all learned; the sample doesn't depend on how rows lie."""
+    from sessionweave.llm import language_id
+
+    rows = [(1000 * n + i, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}{w}" for w in ("ba", "do", "ki", "lu")[: 2 + i % 3]), f"l{n:02d}", True) for n in range(70) for i in range(2 if n == 3 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score boolean")
+    models = [language_id.fit(d.select("text", "lang"), language_id.Scratch(spark, "t"), rows=300) for d in (df, df.repartition(7))]
+    assert models[0].langs == models[1].langs == sorted({r[2] for r in rows})
+    assert all((a.key == b.key).all() and (a.ratio == b.ratio).all() for a, b in zip(models[0].tables, models[1].tables, strict=True))
+    got = language_id.predict_languages(df, models[0], ["doc_id", "lang", "score"], ("lang_pred", "p")).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+    assert [language_id.quota([5, 100, 100], 50), language_id.quota([5, 5], 50), language_id.quota([], 5), language_id.quota([9] * 20, 10)] == [22, 5, 0, 0]
+
+
+def test_language_scores():
+    """Known words, backoff and posteriors against plain dictionaries."""
+    from sessionweave.llm import language_id as li
+
+    counts = {"en": {"the": 5, "thing": 2, "sea": 1}, "de": {"der": 4, "see": 2, "ding": 1}}
+    langs = sorted(counts)
+    grams = lambda w, k: [f"<{w}>"[i : i + k] for i in range(len(w) + 3 - k)]
+    held = [counts] + [{x: Counter(g for w, n in ws.items() for g in grams(w, k) for _ in range(n)) for x, ws in counts.items()} for k in range(1, li.MAX_N + 1)]
+
+    def table(k):
+        words = sorted({w for ws in held[k].values() for w in ws})
+        one = (lambda w: li.word_hashes([w])[0]) if k == 0 else (lambda g: None)
+        key = {w: one(w) for w in words}
+        if k:
+            for w in {w for ws in counts.values() for w in ws}:
+                key |= dict(zip(grams(w, k), li.gram_hashes([w])[k - 1][1], strict=True))
+        at = [(key[w], i, held[k][x][w]) for i, x in enumerate(langs) for w in words if held[k][x].get(w)]
+        return li.Table(*(np.array(c, t) for c, t in zip(zip(*at, strict=True), (np.uint64, np.int64, float), strict=True)), len(langs))
+
+    model = li.Model(langs, [3, 5], [table(k) for k in range(li.MAX_N + 1)])
+
+    def log(k, entry, x):
+        size = len({w for ws in held[k].values() for w in ws})
+        return np.log((held[k][x].get(entry, 0) + li.SMOOTH) / (sum(held[k][x].values()) + li.SMOOTH * (size + 1)))
+
+    def word(w, x):
+        if any(w in held[0][y] for y in langs):
+            return log(0, w, x)
+        for k in range(min(li.MAX_N, len(w) + 2), 0, -1):
+            known = [g for g in grams(w, k) if any(g in held[k][y] for y in langs)]
+            if known:
+                return np.mean([log(k, g, x) for g in known])
+        return 0.0
+
+    words = ["the", "der", "thinge", "meer", "s", "zzz", "q", "sea" * 40]
+    assert np.allclose(model.words(words), [[word(w, x) for x in langs] for w in words])
+    import pyarrow as pa
+
+    lang, score = li.Scorer(model).predict(pa.array(["The der", "meer 12", "zzz", None, "12", "sea " * 50_000, ""]))
+    for text, x, p in zip(["the der", "meer", "zzz"], lang, score, strict=False):
+        total = [np.log((d + 1) / 10) + sum(word(w, y) for w in text.split()) for y, d in zip(langs, (3, 5), strict=True)]
+        assert x == langs[int(np.argmax(total))] and abs(p - 1 / sum(np.exp(t - max(total)) for t in total)) < 1e-6
+    assert lang[3:] == ["und", "und", "en", "und"] and score[3] == 0
+
+
 def test_language_held_out(spark):
     from sessionweave.llm.language_id import op5_language_id
 
@@ -176,6 +237,47 @@ def test_warc_round_trip(spark):
     assert read_warc(empty, scratch.path("archive")).count() == 0
 
 
+def test_warc_shards(spark):
+    """An id far from all others makes no large shard, many shards are written, and many tasks read."""
+    from sessionweave.llm.common import Scratch
+    from sessionweave.llm.warc import read_warc, write_warc
+
+    pages = spark.createDataFrame([(i if i < 199 else 2**61, f"http://x/{i}", "y" * (500 + i), "clash") for i in range(200)], "page_id long, url string, html string, shard string")
+    scratch = Scratch(spark, "warctest")
+    manifest = write_warc(pages, scratch.path("archive"), scratch, shard_bytes=6000)
+    files = sorted(r["file"] for r in manifest.collect())
+    assert len(files) >= 19 and max(r["records"] for r in manifest.collect()) <= 12
+    back = read_warc(manifest, scratch.path("archive"))
+    assert back.rdd.getNumPartitions() > 1
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in back.collect()) == sorted((i if i < 199 else 2**61, 500 + i) for i in range(200))
+
+
+def test_pieces_on_spark(spark, docs, none):
+    import public_tokenizers
+    import sentencepiece
+
+    from sessionweave.llm.sentencepieces import decode_documents, encode_documents
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = Counter((i, len(ids := lib.encode(t)), sha(",".join(map(str, ids))), sha(lib.decode(ids))) for i, t in text_of(docs))
+    assert Counter(map(tuple, encode_documents(docs, path, digests=True).collect())) == want
+    back = decode_documents(encode_documents(docs, path), path).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((i, lib.decode(lib.encode(t))) for i, t in text_of(docs))
+    assert encode_documents(none, path, digests=True).count() == 0
+
+
+def test_exact_without_ids(spark):
+    """Rows are told apart by numbers of their own: null and text ids, and equal ids with other texts."""
+    from sessionweave.llm.exact_dedup import exact_dedup, exact_groups
+
+    df = spark.createDataFrame([(None, "a b"), (None, "ab"), (None, "abc"), ("x", "ab"), ("x", "abc"), ("x", "ab"), ("w", "zz")], "doc_id string, text string")
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(df).collect())
+    assert got == Counter([(None, None, 4, True), (None, None, 4, False), ("x", None, 4, False), ("x", None, 4, False), (None, "x", 2, False), ("x", "x", 2, True), ("w", "w", 1, True)])
+    assert sorted(r["text"] for r in exact_dedup(df).collect()) == ["a b", "abc", "zz"]
+
+
 def test_embeddings(spark):
     from sessionweave.llm.embedding_dedup import embedding_groups
 
@@ -228,11 +330,43 @@ def test_pages(spark):
 
 
 def test_pipeline_stages(spark, docs, none):
+    """Stages called one after another without writing in between, and the whole run, against brute force."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
+    from sessionweave.llm.substring_dedup import whole_characters
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "substring_dedup", "packing"]
     now = docs
     for _, stage in corpus_pipeline.STAGES[:3]:
-        now = stage(spark, now, "").cache()
+        now = stage(spark, now, "")
         assert now.columns == docs.columns
-    assert 12 in [r["doc_id"] for r in now.collect()] and 2 not in [r["doc_id"] for r in now.collect()]
+    kept = [r["doc_id"] for r in now.collect()]
+    rows = [(i, t) for i, t in text_of(docs) if re.search(r"[^\W\d_]", t)]  # one language is learned
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
+    best = {}
+    for i, t in sorted(rows, key=lambda x: (-len(x[1]), x[0] is None, x[0] or 0)):
+        best.setdefault(norm(t), (i, t))
+    rows = sorted(best.values(), key=lambda x: (x[0] is None, x[0] or 0))
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    stay = []
+    for k, g in enumerate(grams):  # classes here are pairs at most, so the first of a class stands for it
+        if not any(len(g & grams[j]) * 9 >= 4 * (len(g) + len(grams[j])) for j in range(k)):
+            stay.append(rows[k])
+    assert sorted(map(str, kept)) == sorted(str(i) for i, _ in stay)
+    raw = [t.encode() for _, t in stay]
+    count = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
+    tok, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for (i, _), b in zip(stay, raw, strict=True):
+        gone = np.zeros(len(b), np.int8)
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                gone[k : k + 200] = 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+        for x, y in whole_characters(b, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))[::-1]:
+            b = b[:x] + b[y:]
+        want[i, len(tok.encode(b.decode(), add_special_tokens=False).ids) + 1] += 1
+    got = corpus_pipeline.run_on(spark, docs).collect()
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0) == want
+    assert corpus_pipeline.run_on(spark, none).count() == 0
