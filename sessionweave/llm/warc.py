@@ -136,7 +136,7 @@ def write_warc(pages: DataFrame, uri: str, scratch: Scratch, min_revisit: int =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], [*b.schema.names, "shard"])
 
     rows = rows.mapInArrow(lean(add_shard), f"page_id {kind}, k int, url string, html string, sha1 string, target {kind}, shard int")
-    rows = rows.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "k", "url", "html")
+    rows = rows.repartitionById(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "k", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done, at, part, now, marked, written = None, [], None, 0, (None,), {}, set()
