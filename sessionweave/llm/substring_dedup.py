@@ -114,23 +114,24 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends[1:] - ends[0]
 
 
-def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each context, which of its windows occur at another place in the contexts too (mask by window start)."""
-    flat = np.frombuffer(b"".join(c + b"\xff" for c in contexts), np.uint8)
-    text = np.append(flat.astype(np.int64) + 1, 0)
-    sa = suffix_array(text)[1:]  # without the closing symbol
+def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of the contexts occur at another place in the contexts too (a mask over all contexts, each followed by one
+    more place), and where each context begins in it."""
+    flat = np.frombuffer(b"\xff".join([*contexts, b""]), np.uint8)
+    sa = suffix_array(np.append(flat.astype(np.int32) + 1, 0))[1:]  # without the closing symbol
     lcp = permuted_lcp(flat, sa)
     size = np.array([len(c) for c in contexts])
     starts = np.cumsum(size + 1) - size - 1
-    windows = np.zeros(len(flat), bool)
-    for s, n in zip(starts, size, strict=True):
-        windows[s : s + max(0, n - length + 1)] = True
-    hit = windows & (lcp >= length)
+    long = size >= length
+    edges = np.zeros(len(flat) + 1, np.int32)
+    edges[starts[long]] += 1
+    edges[starts[long] + size[long] - length + 1] -= 1
+    hit = (np.cumsum(edges[:-1]) > 0) & (lcp >= length)
     phi = np.full(len(flat), -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     mark = hit.copy()
     mark[phi[np.flatnonzero(hit)]] = True
-    return [mark[s : s + max(0, n - length + 1)] for s, n in zip(starts, size, strict=True)]
+    return mark, starts
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -242,12 +243,20 @@ def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            rows = []
-            for (_, marks), mask in zip(held, repeated_windows([t for t, _ in held], length) if held else [], strict=True):
-                for k in marks:
-                    rows += [(k["key"], k["ctx"], i, j) for i, j in _runs(mask[k["o"] : k["o"] + k["n"] - length + 1])]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "ctx", "from", "to"])
+            own = [(i, k["key"], k["ctx"], k["o"], k["n"]) for i, (_, marks) in enumerate(held) for k in marks]
+            if not own:
+                return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], ["key", "ctx", "from", "to"])
+            mask, starts = repeated_windows([t for t, _ in held], length)
+            of, key, ctx, o, n = (np.array(c, np.int64) for c in zip(*own, strict=True))
+            first, many = starts[of] + o, n - length + 1
+            total = np.concatenate([[0], np.cumsum(mask)])
+            found = total[first + many] - total[first]
+            rows = np.flatnonzero(found == many)  # most kinds are repeats as a whole, or not at all
+            cols = [key[rows], ctx[rows], np.zeros(len(rows), np.int64), many[rows]]
+            some = [(key[r], ctx[r], i, j) for r in np.flatnonzero((found > 0) & (found < many)) for i, j in _runs(mask[first[r] : first[r] + many[r]])]
+            if some:
+                cols = [np.concatenate([c, np.array(x, np.int64)]) for c, x in zip(cols, zip(*some, strict=True), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["key", "ctx", "from", "to"])
 
         for b in batches:
             for key, text, marks in zip(*(b.column(c).to_pylist() for c in ("key", "text", "marks")), strict=True):

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-MANY, FEW, SHORT = 1024, 4096, 32768  # names beyond MANY are written as two digits; strings up to SHORT are sorted by doubling
+MANY, FEW, SHORT = 1024, 4096, 65536  # names beyond MANY are written as two digits; strings up to SHORT are sorted by doubling
 
 
 def _bucket_pass(text: np.ndarray, seeds: np.ndarray, cut: np.ndarray, member: np.ndarray, symbols: list[int], size: np.ndarray) -> np.ndarray:
