@@ -43,6 +43,12 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
+def float_ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles by floating-point rules where b is 0: an infinity with the sign of both, NaN if a is 0 too."""
+    sign = F.when(b.cast("string") == "-0.0", -1.0).otherwise(1.0)
+    return F.coalesce(ratio(a, b), F.when(b == 0, a * sign * F.lit(float("inf"))))
+
+
 def gesture_class(scroll_during: Column, scroll_coast: Column, displacement: Column, hold: Column) -> Column:
     """Ordered rules: 5 px of scrolling (a quarter or more of it coasting: fling), 20 px of travel, half a second, else a tap."""
     total = scroll_during + scroll_coast

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import float_ratio
 from ..functions.stats import share
 from ..operators import epochs, scoring
 from ..operators import sequence as q
@@ -50,7 +51,7 @@ def practice_effect(spark, d):
     """Change of the mean from a session's first to second purchase run, in percent."""
     p = events(spark, d).where("kind = 'purchase'").withColumn("pass", F.row_number().over(Window.partitionBy("s").orderBy("t", "id")))
     a, b = p.where("pass = 1").select("s", F.col("v").alias("v1")), p.where("pass = 2").select("s", F.col("v").alias("v2"))
-    return a.join(b, "s").select("s", F.round(100 * (1 - F.col("v2") / F.col("v1")), 6).alias("gain"))
+    return a.join(b, "s").select("s", F.round(100 * (1 - float_ratio(F.col("v2"), F.col("v1"))), 6).alias("gain"))
 
 
 def duplicate_rows(spark, d):
