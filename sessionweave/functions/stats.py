@@ -19,6 +19,11 @@ def number(x: Column) -> Column:
     return finite(x.try_cast("double"))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to places digits, half away from zero, told by the scaled double as in the SQL; F.round tells it by the decimal form of x."""
+    return F.when(F.abs(x) <= 1e300, F.round(x * 10.0**places) / 10.0**places).otherwise(x)
+
+
 def stat_columns(prefix: str) -> list[str]:
     return [f"{prefix}_{s}" for s in SUFFIXES]
 

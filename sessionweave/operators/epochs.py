@@ -31,17 +31,18 @@ def impulse_metrics(pairs: DataFrame, event: str = "ev", t0: str = "t", axes: tu
     """One row per event: peak, latency, impulse area, decay, share of the third axis and signal to noise.
 
     Needs least_total samples, two before the event and three from it on; the baseline is the mean before."""
-    w = Window.partitionBy(event)
-    rel = F.col("st") - F.col(t0)
-    pre, post = rel < 0, rel >= 0
-    p = pairs.withColumns({"rel": rel, "base": F.avg(F.when(pre, F.col(value))).over(w), "noise": F.stddev_pop(F.when(pre, F.col(value))).over(w) + 1e-9})
-    extra = {f"__{a}": F.abs(F.col(a) - F.avg(F.when(F.col("rel") < 0, F.col(a))).over(w)) for a in axes or ()}
-    p = p.withColumns({"n": F.count(F.lit(1)).over(w), "n_pre": F.count(F.when(F.col("rel") < 0, 1)).over(w), "n_post": F.count(F.when(F.col("rel") >= 0, 1)).over(w), **extra})
-    p = p.where((F.col("n") >= least_total) & (F.col("n_pre") >= LEAST_PRE) & (F.col("n_post") >= LEAST_POST) & (F.col("rel") >= 0))
+    order = Window.partitionBy(event).orderBy("rel")  # also where all rows count: sums go in the order of time, so every run rounds alike
+    w = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = pairs.withColumn("rel", F.col("st") - F.col(t0))
+    pre, post = F.col("rel") < 0, F.col("rel") >= 0
+    p = p.withColumns({"base": F.avg(F.when(pre, F.col(value))).over(w), "noise": F.stddev_pop(F.when(pre, F.col(value))).over(w) + 1e-9})
+    extra = {f"__{a}": F.abs(F.col(a) - F.avg(F.when(pre, F.col(a))).over(w)) for a in axes or ()}
+    p = p.withColumns({"n": F.count(F.lit(1)).over(w), "n_pre": F.count(F.when(pre, 1)).over(w), "n_post": F.count(F.when(post, 1)).over(w), **extra})
+    p = p.where((F.col("n") >= least_total) & (F.col("n_pre") >= LEAST_PRE) & (F.col("n_post") >= LEAST_POST) & post)
     p = p.withColumn("vp", F.col(value) - F.col("base"))
-    order = Window.partitionBy(event).orderBy("rel")
     clip = F.greatest(F.col("vp"), F.lit(0.0))
-    p = p.withColumns({"area": (clip + F.lag(clip).over(order)) / 2 * (F.col("rel") - F.lag("rel").over(order)), "lat": F.first("rel").over(Window.partitionBy(event).orderBy(F.desc("vp"), "rel"))})
+    first = F.max(F.when(F.col("vp").isNotNull(), F.struct("vp", -F.col("rel")))).over(w)  # of equal peaks the first
+    p = p.withColumns({"area": (clip + F.lag(clip).over(order)) / 2 * (F.col("rel") - F.lag("rel").over(order)), "lat": -first["col2"]})
     tail = F.when(F.col("rel") >= F.col("lat") + tail_after, F.col("vp"))
     peak = F.max("vp")
     total = sum((F.sum(f"__{a}") for a in axes), F.lit(0.0)) if axes else None

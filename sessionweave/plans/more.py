@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import float_ratio
-from ..functions.stats import share
+from ..functions.stats import rounded, share
 from ..operators import epochs, scoring
 from ..operators import sequence as q
 from .base import DAY, EV, HOUR, events, table
@@ -23,7 +23,7 @@ def _pairs(spark, d):
 
 def epoch_metrics(spark, d):
     out = epochs.impulse_metrics(_pairs(spark, d), value="v", tail_after=DAY)
-    return out.select("ev", *(F.round(c, n).alias(c) for c, n in (("peak", 7), ("impulse_auc", 1), ("latency_ms", 4), ("decay_ratio", 6), ("snr", 5))))
+    return out.select("ev", *(rounded(F.col(c), n).alias(c) for c, n in (("peak", 7), ("impulse_auc", 1), ("latency_ms", 4), ("decay_ratio", 6), ("snr", 5))))
 
 
 def epoch_bin_means(spark, d):

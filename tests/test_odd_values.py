@@ -19,3 +19,18 @@ def test_practice_effect_from_zero(spark, tmp_path):
     first_second = [("0", "5"), ("0", "0"), ("0", "-5"), ("'-0.0'", "5"), ("0", "NULL"), ("NULL", "0"), ("4", "0"), ("0", "'nan'"), ("4", "3"), ("0", "'inf'")]
     got, want = both(spark, tmp_path, "practice_effect", [(2 * s + k, k, s, "purchase", v) for s, pair in enumerate(first_second) for k, v in enumerate(pair)])
     assert got == want and len(got) == len(first_second)
+
+
+def test_epoch_metrics_halves_ties_nulls(spark, tmp_path):
+    rows = []
+
+    def session(s, at, around):
+        rows.append((100 * s, 0, s, "click", 1))
+        rows.extend((100 * s + k, at + x, s, "purchase" if x == 0 else "view", v) for k, (x, v) in enumerate(around, 1))
+
+    session(1, 448006.5774, [(-20, 3), (-10, 5), (0, 4), (900.09865, 90.25), (1000, 7)])  # a latency that ends in a half
+    session(2, 300_000, [(-20, 3), (-10, 5), (0, 4), (40, 90.25), (90, 90.25), (120, 1)])  # two equal peaks
+    session(3, 300_000, [(-20, 3), (-10, 5), (0, "NULL"), (40, "NULL"), (90, "NULL")])  # no value from the event on
+    session(4, 300_000, [(-20, 0), (-10, 0), (0, 22.4), (90_000, -0.63), (90_010, 0), (90_020, -0.315)])
+    got, want = both(spark, tmp_path, "epoch_metrics", rows)
+    assert got == want and len(got) == 4
