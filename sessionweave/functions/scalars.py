@@ -49,6 +49,11 @@ def float_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(ratio(a, b), F.when(b == 0, a * sign * F.lit(float("inf"))))
 
 
+def float_log10(x: Column) -> Column:
+    """Logarithm by floating-point rules: minus infinity of 0, NaN of what is below."""
+    return F.when(x > 0, F.log10(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
 def gesture_class(scroll_during: Column, scroll_coast: Column, displacement: Column, hold: Column) -> Column:
     """Ordered rules: 5 px of scrolling (a quarter or more of it coasting: fling), 20 px of travel, half a second, else a tap."""
     total = scroll_during + scroll_coast

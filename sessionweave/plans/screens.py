@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import gesture_class, grid_cell, ratio, right_closed_bin
+from ..functions.scalars import float_log10, gesture_class, grid_cell, ratio, right_closed_bin
 from ..functions.stats import share
 from ..operators import quality, scoring, screening
 from ..operators import windows as w
@@ -188,7 +188,7 @@ def grid_coverage(spark, d):
 
 def log_bins(spark, d):
     edges = [10.0**x for x in (-2, -1, 0, 1, 2, 3)]
-    return events(spark, d).groupBy(right_closed_bin(F.col("v"), edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.log10("v")), 6).alias("mean_log"))
+    return events(spark, d).groupBy(right_closed_bin(F.col("v"), edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(float_log10(F.col("v"))), 6).alias("mean_log"))
 
 
 def ecdf(spark, d):

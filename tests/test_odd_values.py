@@ -34,3 +34,11 @@ def test_epoch_metrics_halves_ties_nulls(spark, tmp_path):
     session(4, 300_000, [(-20, 0), (-10, 0), (0, 22.4), (90_000, -0.63), (90_010, 0), (90_020, -0.315)])
     got, want = both(spark, tmp_path, "epoch_metrics", rows)
     assert got == want and len(got) == 4
+
+
+def test_log_bins_at_zero_and_below(spark, tmp_path):
+    values = ["0", "'-0.0'", "0.01", "0.1", "1", "1000", "1001", "NULL"]
+    got, want = both(spark, tmp_path, "log_bins", [(k, k, 1, "view", v) for k, v in enumerate(values)])
+    assert got == want and any("-inf" in r for r in got)
+    got, want = both(spark, tmp_path, "log_bins", [(k, k, 1, "view", v) for k, v in enumerate([*values, "-5"])])
+    assert got == want and any("nan" in r for r in got)
