@@ -12,9 +12,9 @@ of all documents share goes on as two.
 Segments.  What a kind with two places or more holds is told by the text around both: it is cut out and goes to one shard.  Adjacent
 contexts whose places lie in the same two documents at one distance make one run, so the runs of two copies of a document meet as a
 whole (cut at every STRIDE bytes).  A kind with one place is told by all kinds with its key, whose segments go to the key's shard.
-A shard of about SHARD bytes is suffix-sorted by induced sorting (``suffix.py``), and windows whose permuted common prefix with a
-neighbour is LENGTH or more are repeats: that alone decides, hashes only say what meets.  What is found for a kind holds at all of
-its places.
+In a shard of about SHARD bytes the suffixes at windows are sorted by their first LENGTH bytes (``suffix.same_prefix``), and windows
+whose common prefix with a neighbour is LENGTH or more are repeats: that alone decides, hashes only say what meets.  What is found
+for a kind holds at all of its places.
 
 Splitting.  Most windows of a kind with one place reach beyond what the documents share.  So the contexts of its key are first split
 by the windows' offset to the anchor into pieces of 24 windows, keyed by the bytes that all of them have in common; a piece whose
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .arrowtools import lean, slices, small_batches
 from .common import Scratch, table
-from .suffix import permuted_lcp, suffix_array
+from .suffix import same_prefix
 
 LENGTH, GRAM, SHARD, MOST, WIDTHS, STRIDE, CHUNK = 200, 40, 1_000_000, 2000, (24, 4, 1), 16384, 4_000_000
 _U = np.uint64
@@ -118,19 +118,15 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> tuple[np.nd
     """Which windows of the contexts occur at another place in the contexts too (a mask over all contexts, each followed by one
     more place), and where each context begins in it."""
     flat = np.frombuffer(b"\xff".join([*contexts, b""]), np.uint8)
-    sa = suffix_array(np.append(flat.astype(np.int32) + 1, 0))[1:]  # without the closing symbol
-    lcp = permuted_lcp(flat, sa)
     size = np.array([len(c) for c in contexts])
     starts = np.cumsum(size + 1) - size - 1
     long = size >= length
     edges = np.zeros(len(flat) + 1, np.int32)
     edges[starts[long]] += 1
     edges[starts[long] + size[long] - length + 1] -= 1
-    hit = (np.cumsum(edges[:-1]) > 0) & (lcp >= length)
-    phi = np.full(len(flat), -1, np.int64)
-    phi[sa[1:]] = sa[:-1]
-    mark = hit.copy()
-    mark[phi[np.flatnonzero(hit)]] = True
+    places = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+    mark = np.zeros(len(flat), bool)
+    mark[places[same_prefix(flat, places, length)]] = True
     return mark, starts
 
 

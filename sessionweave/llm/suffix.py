@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
+"""Suffixes sorted to a depth by prefix doubling; suffix arrays by induced sorting, and permuted common prefixes; in numpy.
 
 Suffixes are classified as larger (L) or smaller (S) than the next one; the leftmost S of each run (LMS) cut the text into
 substrings.  One pass over the buckets in rising order places the L suffixes behind the LMS ones, one in falling order places
@@ -153,6 +153,52 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def same_prefix(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes at places (rising, at least length bytes before the end of text, uint8) have their first length bytes in
+    common with another of them.
+
+    The suffixes are sorted by those bytes alone, as in a suffix array that is not told apart any deeper; neighbours whose common
+    prefix reaches length are marked.  The order by eight bytes gives ranks; the order by two or three times as many comes from the
+    ranks at as many places, if those fit 63 bits together.  Only suffixes that a longer prefix is made of are sorted."""
+    n, k = len(text), min(8, length)
+    bits = (n + 1).bit_length()
+    offsets: list[list[int]] = []
+    while k < length:
+        parts = max(2, 62 // bits)
+        to = min(length, parts * k)
+        offsets.append(sorted({min(j * k, to - k) for j in range(parts)}))
+        k = to
+    need = [places]
+    for steps in reversed(offsets):
+        mask = np.zeros(n, bool)
+        for o in steps:
+            mask[need[-1] + o] = True
+        need.append(np.flatnonzero(mask))
+    need.reverse()
+    pad = np.zeros(n + 8, np.uint64)
+    pad[:n] = text
+    word = np.zeros(n, np.uint64)
+    for j in range(min(8, length)):
+        word = word << np.uint64(8) | pad[j : j + n]
+    key, rank = word.take(need[0]), np.zeros(n, np.int64)
+    order = key.argsort()
+    key = key.take(order)
+    for before, at, steps in zip(need[:-1], need[1:], offsets, strict=True):
+        name = np.zeros(len(before), np.int64)
+        np.cumsum(key[1:] != key[:-1], out=name[1:])
+        rank[before.take(order)] = name
+        key = rank.take(at)
+        for o in steps[1:]:
+            key = (key << bits) + rank.take(at + o)
+        order = key.argsort()
+        key = key.take(order)
+    equal = np.flatnonzero(key[1:] == key[:-1])
+    out = np.zeros(len(places), bool)
+    out[order[equal]] = True
+    out[order[equal + 1]] = True
+    return out
+
+
 def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each suffix and the one before it in sa, by text position (uint8 text).
 
