@@ -20,8 +20,10 @@ def number(x: Column) -> Column:
 
 
 def rounded(x: Column, places: int) -> Column:
-    """x to places digits, half away from zero, told by the scaled double as in the SQL; F.round tells it by the decimal form of x."""
-    return F.when(F.abs(x) <= 1e300, F.round(x * 10.0**places) / 10.0**places).otherwise(x)
+    """x to places digits, half away from zero, told by the scaled double as in the SQL; F.round tells it by the decimal form of x.
+
+    Zero keeps the sign of x, which F.round drops."""
+    return F.when(F.abs(x) <= 1e300, F.signum(x) * (F.round(F.abs(x) * 10.0**places) / 10.0**places)).otherwise(x)
 
 
 def stat_columns(prefix: str) -> list[str]:

@@ -36,6 +36,13 @@ def test_epoch_metrics_halves_ties_nulls(spark, tmp_path):
     assert got == want and len(got) == 4
 
 
+def test_epoch_metrics_keeps_the_sign_of_zero(spark, tmp_path):
+    around = [(-20, 3), (-10, 5), (0, 4.5), (40, 90), (90_000, 3.9999999)]  # a mean after the peak that rounds to zero from below
+    rows = [(0, 0, 1, "click", 1), *((k, 300_000 + x, 1, "purchase" if x == 0 else "view", v) for k, (x, v) in enumerate(around, 1))]
+    got, want = both(spark, tmp_path, "epoch_metrics", rows)
+    assert got == want and len(got) == 1 and "-0.0" in got[0]
+
+
 def test_log_bins_at_zero_and_below(spark, tmp_path):
     values = ["0", "'-0.0'", "0.01", "0.1", "1", "1000", "1001", "NULL"]
     got, want = both(spark, tmp_path, "log_bins", [(k, k, 1, "view", v) for k, v in enumerate(values)])
