@@ -1,21 +1,12 @@
-"""Near-duplicate embeddings by spherical-cap filters.
+"""Near-duplicate embeddings, every pair of a label compared.
 
-Filters are unit vectors of a random product code: the space is cut into blocks of coordinates, each with random
-orthonormal bases and their negatives as code, and a filter is a code word for each block.  A vector's products with all filters are
-sums of one number from each block, so the filters that exceed a threshold are list-decoded block by block.  The code has the more
-words, and a filter's cap is the smaller, the more vectors the largest label holds (CODES), so the vectors that a query
-meets stay about as many while the table grows.
+Vectors with equal bytes are collapsed first.  The vectors of a label and a length are dealt out to blocks, BLOCKS or fewer unless
+those would be too large to hold, and every two blocks are a task's work.  A task multiplies unit vectors in single precision, about
+3 ns a pair of 64 components, and compares again in double precision only the pairs whose product is nearer to the threshold
+than single precision can err, so no pair is missed.  Tasks return link counts and a spanning forest of the links they found.
 
-Every vector queries one filter only, its best of the first table whose best product reaches START, so each ordered pair meets
-at most once and links can be counted without making pairs.  Every vector is stored under all filters whose product is at
-least ``reach``: for a vector at the threshold's angle from the query, its product with the query's filter is normal about
-START times the threshold, and reach lies SIGMAS deviations below (never below the worst case on the sphere, so for few
-components the search is exact).  Five deviations miss a pair at the very threshold with a chance of 3e-7, and one above it
-with less.  Vectors that no table serves (after TABLES tables next to none) are compared with all vectors of their label, in
-blocks.
-
-Vectors with equal bytes are collapsed first.  A filter with more than BLOCK queries or stored vectors is cut into blocks; every
-two blocks are a task's work.  Tasks return link counts and a spanning forest of the links they found.
+Storing each vector under the filters of a product code (``Code``) needs fewer products but many more rows; with 60 000 vectors in
+each of 10 labels it had not ended after 200 s, where all products take less.  The code is no longer on op4's path.
 
 Defined results: vectors are compared only when labels are equal and not null and lengths are equal; null or empty vectors, zero
 vectors and vectors with null or non-finite components link with nothing; each row, repeated ones too, is a vector of its own;
@@ -31,18 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtools import lean, small_batches
 from .common import Scratch, connected_components, table
 
-THRESHOLD, TABLES, BLOCK, SERVED, SIGMAS = 0.98, 6, 1024, 0.9, 5.0
+THRESHOLD, TABLES, SERVED, SIGMAS = 0.98, 6, 0.9, 5.0
+#: blocks of a label that a vector meets, and the least and the most components a block has for that
+BLOCKS, SMALL, LARGE = 8, 1 << 20, 1 << 22
+TILE = 256, 4096  # pairs whose products are held at once
 #: (vectors of the largest label, blocks, bases a block): from each number of vectors on, the code in use.  Of 64 components
 #: a vector's cap of queries' filters then holds 0.027, 0.0053, 0.0009 and 0.00017 of all other vectors
 CODES = ((0, 2, 1), (1_200, 2, 4), (6_000, 2, 16), (36_000, 3, 8))
-SLOTS = 1 << 25  # bits of the map of filters in use
 
 
 class Code:
@@ -99,42 +91,11 @@ def code_for(dim: int, vectors: int = 0) -> Code:
     return Code(dim, blocks, bases)
 
 
-def _slots(label: pa.Array, dim: int, t: int, f: np.ndarray) -> np.ndarray:
-    """Place of (label, length, table, filter) in the map of filters in use."""
-    from xxhash import xxh3_64_intdigest
-
-    coded = pc.dictionary_encode(label)
-    h = np.array([xxh3_64_intdigest(repr((x, dim, t)).encode()) for x in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy(zero_copy_only=False)] if len(label) else np.zeros(0, np.uint64)
-    h = (h ^ f.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(32)).astype(np.int64) & (SLOTS - 1)
-
-
-def _vectors(col: pa.Array, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(v, kind).astype(np.float64) for v in col.to_pylist()]
-
-
 def _scaled(x: np.ndarray) -> np.ndarray:
     """Rows times a power of two each, so that the largest component is between one half and one; cosines stay."""
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
-def _units(vectors: list[np.ndarray]) -> np.ndarray:
-    x = _scaled(np.stack(vectors))
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def _by_length(b: pa.RecordBatch, kind: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, rows, unit vectors) of a batch, at most 2000 rows at a time."""
-    vectors = _vectors(b.column("vec"), kind)
-    size = np.array([len(v) for v in vectors])
-    for dim in np.unique(size):
-        rows = np.flatnonzero(size == dim)
-        for k in range(0, len(rows), 2000):
-            some = rows[k : k + 2000]
-            yield int(dim), some, _units([vectors[i] for i in some])
-
-
 def _checked(vectors: DataFrame, width: str) -> DataFrame:
     """vec_id, label, fp, vec (components as bytes); fp and vec are null where a vector can't link."""
     kind, label = (vectors.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
@@ -143,95 +104,45 @@ def _checked(vectors: DataFrame, width: str) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            fp: list[bytes | None] = []
-            raw: list[bytes | None] = []
-            for lab, v in zip(b.column("label").to_pylist(), b.column("embedding").to_pylist(), strict=True):
-                ok = lab is not None and v and None not in v
-                x = np.array(v, width) if ok else None
-                if ok and np.isfinite(x).all() and x.any():
-                    raw.append(x.tobytes())
-                    fp.append(xxh3_128_digest(repr(lab).encode() + b"/" + raw[-1]))
-                else:
-                    raw.append(None)
-                    fp.append(None)
+            col = b.column("embedding")
+            x = col.values.cast(pa.float32() if width == "<f4" else pa.float64(), safe=False).to_numpy(zero_copy_only=False)  # null gives NaN
+            ends = col.offsets.to_numpy().astype(np.int64)
+            odd, set_ = (np.concatenate([[0], np.cumsum(c)])[ends] for c in (~np.isfinite(x), x != 0))
+            ok = (np.diff(odd) == 0) & (np.diff(set_) > 0) & b.column("label").is_valid().to_numpy(zero_copy_only=False) & col.is_valid().to_numpy(zero_copy_only=False)
+            data = x.astype(width).tobytes()
+            at = (ends * np.dtype(width).itemsize).tolist()
+            raw = [data[p:q] if k else None for k, p, q in zip(ok.tolist(), at, at[1:])]
+            fp = [v and xxh3_128_digest(repr(lab).encode() + b"/" + v) for lab, v in zip(b.column("label").to_pylist(), raw, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(fp, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "label", "fp", "vec"])
 
     return vectors.select("vec_id", "label", "embedding").mapInArrow(lean(run), f"vec_id {kind}, label {label}, fp binary, vec binary")
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, code_size: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept."""
+def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int | None = None, code_size: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept; block: vectors in a block.  code_size has no effect any more."""
     spark = vectors.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "embedding")
-    label = vectors.schema["label"].dataType.simpleString()
     width = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     rows = scratch.keep(_checked(vectors, width), "rows")
     reps = rows.where("fp is not null").groupBy("fp").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("id"))
-    reps = scratch.keep(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
-
-    most = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 if code_size is None else code_size
-
-    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims, tab, best, slot = (np.zeros(b.num_rows, np.int64) for _ in range(4))
-            for dim, some, unit in _by_length(b, width):
-                code = code_for(dim, most)
-                dims[some], tab[some] = dim, -1
-                for t in range(len(code.tables)):
-                    f, s = code.best(unit, t)
-                    take = (tab[some] < 0) & (s >= code.start)
-                    tab[some[take]], best[some[take]] = t, f[take]
-                    slot[some[take]] = _slots(b.column("label").take(pa.array(some[take])), dim, t, f[take])
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("label"), pa.array(dims, pa.int32()), pa.array(tab, pa.int32()), pa.array(best), pa.array(slot)], ["rid", "label", "dim", "t", "f", "slot"])
-
-    asked = scratch.keep(reps.select("rid", "label", "vec").mapInArrow(lean(queries), f"rid long, label {label}, dim int, t int, f long, slot long"), "asked")
-    # a map of fixed size of the filters in use, at most SLOTS / 64 rows; a place that two share only stores a row too many
-    in_use = np.zeros(SLOTS // 64, np.uint64)
-    for r in asked.where("t >= 0").groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toLocalIterator():
-        in_use[r["w"]] = r["bits"] & (2**64 - 1)
-    in_tables = sorted({(r["dim"], r["t"]) for r in asked.where("t >= 0").select("dim", "t").distinct().collect()})  # TABLES for each length of vectors
-    shared = spark.sparkContext.broadcast((in_use, in_tables))
-    asked = asked.drop("slot")
-
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tables = shared.value
-        for b in batches:
-            for dim, some, unit in _by_length(b, width):
-                code = code_for(dim, most)
-                for t in (t for d, t in tables if d == dim):
-                    for k in range(0, len(some), 250):
-                        row, f = code.decode(unit[k : k + 250], t, reach(code.start, code.dim, threshold))
-                        at = pa.array(some[row + k])
-                        own = b.column("label").take(at)
-                        slot = _slots(own, dim, t, f)
-                        keep = (held[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-                        at, own, f = at.filter(pa.array(keep)), own.filter(pa.array(keep)), f[keep]
-                        yield pa.RecordBatch.from_arrays([b.column("rid").take(at), own, pa.array(np.full(len(f), dim), pa.int32()), pa.array(np.full(len(f), t), pa.int32()), pa.array(f)], ["rid", "label", "dim", "t", "f"])
-
-    key = ["label", "dim", "t", "f"]
-    kept = reps.select("rid", "label", "vec").mapInArrow(lean(stored), f"rid long, label {label}, dim int, t int, f long")
-    # a rest that no table serves asks everything with its label: the key with t = -1
-    rest = asked.where("t < 0").select("label", "dim").distinct()
-    everything = asked.select("rid", "label", "dim").join(rest, ["label", "dim"], "left_semi").select("rid", "label", "dim", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("f"))
-    kept = kept.unionByName(everything)
-    n_asked = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("nq"))
-    kept = scratch.keep(kept.join(n_asked.select(*key), key, "left_semi"), "stored")
-    n_kept = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("ns"))
-    parts = n_asked.join(n_kept, key).select(*key, F.ceil(F.col("nq") / block).cast("int").alias("q"), F.ceil(F.col("ns") / block).cast("int").alias("s"))
-    parts = scratch.keep(parts, "parts")
-    mine = F.pmod(F.xxhash64("rid"), F.col("q")), F.pmod(F.xxhash64("rid"), F.col("s"))
-    left = asked.join(parts, key).select(*key, "rid", F.lit(0).alias("side"), mine[0].alias("i"), F.explode(F.expr("sequence(0L, s - 1L)")).alias("j"))
-    right = kept.join(parts, key).select(*key, "rid", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, q - 1L)")).alias("i"), mine[1].alias("j"))
-    met = left.unionByName(right).select(F.xxhash64(*key, "i", "j").alias("task"), *key, "i", "j", "side", "rid")
-    met = met.join(reps.select("rid", "n", "vec"), "rid")
-    sort = ["task", *key, "i", "j", "side", "rid"]
-    got = met.repartition("task").sortWithinPartitions(*sort).mapInArrow(lean(_links(threshold, tuple(sort[:-2]), width)), "rid long, root long, links long")
+    reps = scratch.keep(reps.withColumns({"rid": F.monotonically_increasing_id(), "size": F.length("vec")}), "reps")
+
+    held = F.col("m") / F.lit(block) if block else F.col("m") / F.greatest(_holds(SMALL, width), F.least(F.col("m") / BLOCKS, _holds(LARGE, width)))
+    groups = reps.groupBy("label", "size").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    groups = scratch.keep(groups.select("label", "size", "m", F.monotonically_increasing_id().alias("g"), F.ceil(held).alias("blocks")), "groups")
+    work = groups.agg(F.sum(F.expr("blocks * (blocks + 1) div 2")).alias("tasks"), F.sum(F.expr("m * size * blocks")).alias("bytes")).first()
+    parts = max(1, min(work["tasks"] or 0, max(4 * spark.sparkContext.defaultParallelism, (work["bytes"] or 0) >> 26)))
+    met = reps.select("label", "size", "rid", "n", "vec").join(groups.drop("m"), ["label", "size"])
+    met = met.select("g", F.pmod(F.xxhash64("rid"), "blocks").alias("k"), F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("l"), "rid", "n", "vec")
+    met = met.select("g", F.least("k", "l").alias("i"), F.greatest("k", "l").alias("j"), (F.col("k") > F.col("l")).cast("int").alias("side"), "rid", "n", "vec")
+    sort = ["g", "i", "j", "side"]
+    got = met.repartition(parts, *sort[:3]).sortWithinPartitions(*sort).mapInArrow(lean(_links(threshold, width)), "rid long, root long, links long")
     got = scratch.keep(got, "links")
     forest = scratch.keep(got.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")), "forest")
     comps = connected_components(scratch, forest).select(F.col("node").alias("rid"), F.col("component").alias("root"))
     links = got.groupBy("rid").agg(F.sum("links").alias("links"))
-    whole = reps.drop("vec", "label").join(links, "rid", "left").join(comps, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    whole = reps.drop("vec", "label", "size").join(links, "rid", "left").join(comps, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     whole = whole.join(least, "root").select("fp", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "fp").join(whole, "fp", "left")
@@ -239,44 +150,88 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: in
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), name.alias("component_id"), F.coalesce(F.col("vec_id") == name, F.lit(False)).alias("kept"))
 
 
-def _links(threshold: float, keys: tuple[str, ...], width: str):
-    """For each task's block of queries and block of stored vectors: links of each query, and a spanning forest of them."""
-
-    def solve(g: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        q = [x for x in g if x[0] == 0]
-        s = [x for x in g if x[0] == 1]
-        if not q or not s:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["rid", "root", "links"])
-        rq, rs = np.array([x[1] for x in q]), np.array([x[1] for x in s])
-        xq, xs = (_scaled(np.stack([np.frombuffer(x[3], width).astype(np.float64) for x in side])) for side in (q, s))
-        mask = xq @ xs.T / (np.linalg.norm(xq, axis=1)[:, None] * np.linalg.norm(xs, axis=1)[None, :]) >= threshold
-        mask &= rq[:, None] != rs[None, :]
-        links = mask @ np.array([x[2] for x in s], np.int64)
-        lq, ls = rq.copy(), rs.copy()
-        qs, ss = np.nonzero(mask)
-        while len(qs):
-            nq, ns = lq.copy(), ls.copy()
-            np.minimum.at(nq, qs, ls[ss])
-            np.minimum.at(ns, ss, nq[qs])
-            if (nq == lq).all() and (ns == ls).all():
-                break
-            lq, ls = nq, ns
-        touched = np.unique(ss)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rq, rs[touched]])), pa.array(np.concatenate([lq, ls[touched]])), pa.array(np.concatenate([links, np.zeros(len(touched), np.int64)]))], ["rid", "root", "links"])
+def _holds(components: int, width: str) -> Column:
+    """How many vectors of size bytes have so many components, one at least."""
+    return F.greatest(F.lit(1.0), F.lit(components * np.dtype(width).itemsize) / F.col("size"))
+
+
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least place that each place is joined with, once a[i] and b[i] are joined, too."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(further := root[root], root):
+            root = further
+
+
+def linked_pairs(x: np.ndarray, first: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of linked vectors, each pair once: of the first ones with the others, or, if first is 0, of all with each other."""
+    unit = np.empty(x.shape, np.float32)
+    for k in range(0, len(x), 4096):
+        some = _scaled(x[k : k + 4096].astype(np.float64))
+        unit[k : k + 4096] = some / np.linalg.norm(some, axis=1, keepdims=True)
+    slack = (x.shape[1] + 16) * 2.0**-23  # twice what rounding to single precision can do to a product
+    once = max(1, (1 << 20) // x.shape[1])
+
+    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for k in range(0, len(a), once):
+            p, q = (_scaled(x[c[k : k + once]].astype(np.float64)) for c in (a, b))
+            out[k : k + once] = np.einsum("ij,ij->i", p, q) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1)) >= threshold
+        return out
+
+    held = np.empty(TILE[0] * TILE[1], np.float32)
+    for a in range(0, first or len(x), TILE[0]):
+        left = unit[a : min(a + TILE[0], first or len(x))]
+        for b in range(first or a, len(x), TILE[1]):
+            right = unit[b : b + TILE[1]]
+            product = np.matmul(left, right.T, out=held[: len(left) * len(right)].reshape(len(left), len(right)))
+            at = np.flatnonzero(product >= threshold - slack)
+            if not len(at):
+                continue
+            p, q = np.divmod(at, len(right))
+            near = product.ravel()[at] < threshold + slack
+            p, q = p + a, q + b
+            keep = np.ones(len(at), bool) if first else p < q
+            near &= keep
+            keep[near] = exact(p[near], q[near])
+            yield p[keep], q[keep]
+
+
+def _links(threshold: float, width: str):
+    """For each task's block or two blocks of vectors: links of each vector, and a spanning forest of them."""
+
+    def solve(one: bool, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rid, n, side = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("rid", "n", "side"))
+        first = 0 if one else int((side == 0).sum())
+        root, links = np.arange(len(rid)), np.zeros(len(rid), np.int64)
+        if one or 0 < first < len(rid):
+            x = np.concatenate([np.frombuffer(b"".join(b.column("vec").to_pylist()), width).reshape(b.num_rows, -1) for b in held])
+            for p, q in linked_pairs(x, first, threshold):
+                for own, other in ((p, q), (q, p)):
+                    links += np.bincount(own, n[other], len(rid)).astype(np.int64)
+                root = _merged(root, p, q)
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(rid[root[some]]), pa.array(links[some])], ["rid", "root", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[pa.RecordBatch] = []
         now = None
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in keys]
-            for key, *row in zip(zip(*cols, strict=True), *(b.column(c).to_pylist() for c in ("side", "rid", "n", "vec")), strict=True):
-                if key != now:
+            keys = np.stack([b.column(c).to_numpy() for c in ("g", "i", "j")], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()] if len(keys) else []
+            for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if (key := tuple(keys[lo].tolist())) != now:
                     if held:
-                        yield solve(held)
+                        yield solve(now[1] == now[2], held)
                     held, now = [], key
-                held.append(tuple(row))
+                held.append(b.slice(lo, hi - lo))
         if held:
-            yield solve(held)
+            yield solve(now[1] == now[2], held)
 
     return run
 
